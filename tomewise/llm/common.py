@@ -85,3 +85,34 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between neighbouring offsets; empty ranges give 0."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+#: Bytes of words, lower-cased (A-Z only): ASCII letters and digits, and every byte of a non-ASCII character. 0: not in a word.
+WORD_BYTE = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BYTE_CODE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes of several texts; no word reaches over the border of two texts."""
+    inside = WORD_BYTE[data] > 0
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | border[1:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | border[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's lower-cased bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    letters = WORD_BYTE[data]
+    letters = letters[letters > 0]
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(int(sizes.max()), _ODD, np.uint64))
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    return mixed(np.add.reduceat(_BYTE_CODE[letters] * powers[place], first) + sizes.astype(np.uint64))
