@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewise.llm import bpe, decontaminate, exact_dedup, language_id, quality, token_counts
+from tomewise.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, quality, token_counts, warc
+from tomewise.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,44 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.digests(chat_format.format_log(chat_format.log_of_messages(rows)))
+
+
+OP2_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)
+), e AS (
+  SELECT *, (length(role) + length(text) + 13 + (length(text) - length(replace(text, '\\', ''))) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + length(array_to_string(regexp_extract_all(text, '#{3,}'), ''))) AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+d AS (SELECT *, sha1(h) AS x FROM p),
+g AS (SELECT *, [('0x' || x[k * 5 + 1 : k * 5 + 5])::INT FOR k IN range(8)] AS groups FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string([array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v // b % 32 + 1)::INT] FOR b IN [32768, 1024, 32, 1]], '') FOR v IN groups], '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM g
+"""
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -82,5 +121,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op5_bpe_encode_decode, op6_quality, op7_exact_dedup, op8_token_counts, op9_language_id)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_warc, op5_bpe_encode_decode, op6_quality, op7_exact_dedup, op8_token_counts, op9_language_id)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL}
