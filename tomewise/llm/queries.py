@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewise.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, quality, token_counts, warc
+from tomewise.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, quality, substring_dedup, token_counts, warc
 from tomewise.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,5 +121,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_warc, op5_bpe_encode_decode, op6_quality, op7_exact_dedup, op8_token_counts, op9_language_id)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_warc, op5_bpe_encode_decode, op6_quality, op7_exact_dedup, op8_token_counts, op9_language_id, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL}
