@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Ids that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,13 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id isn't in ``ids`` (doc_id); ids are broadcast only if their number, counted first, allows it."""
+    dropped = materialize(ids.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(dropped) if few else dropped, df[id_col].cast("long") == dropped["dropped_id"], "left_anti")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where ``df`` has such a column already (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

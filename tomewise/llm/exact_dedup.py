@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import id_text
+from tomewise.llm.common import id_text, without
 
 SALTS = 32
 
@@ -46,6 +46,5 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id wins its group, with all their columns."""
-    kept = _winners(_salted(df, id_col, text_col)).select(F.col("keep_id").alias(id_col))
-    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept[id_col]), "left_semi")
+    """The rows of ``df`` whose id wins its group, with all their columns; rows with null id stay."""
+    return without(df, exact_duplicates(df, id_col, text_col).where("not kept").select("doc_id"), id_col)
