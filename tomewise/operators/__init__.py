@@ -1 +1 @@
-"""Operators of the engine."""
+"""Relational operators as functions from DataFrames to DataFrames, independent of any schema."""
