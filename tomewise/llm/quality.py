@@ -111,16 +111,24 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """One cut of the first feature, then one of the second on either side: (gain, value for each cell)."""
-    _, at = _cut(g.sum(1), h.sum(1))
-    out, gain = np.zeros(g.shape), -(g.sum() ** 2) / (h.sum() + 1)
-    for rows in (slice(0, at), slice(at, len(g))):
-        _, cut = _cut(g[rows].sum(0), h[rows].sum(0))
+    """One cut of the first feature and one of the second on either side, the best of all such trees: (gain, value for each cell)."""
+    if min(g.shape) < 2:
+        return 0.0, np.zeros(g.shape)
+    total_g, total_h = g.cumsum(0), h.cumsum(0)
+    sides = [(total_g[:-1], total_h[:-1]), (total_g[-1] - total_g[:-1], total_h[-1] - total_h[:-1])]
+    gains, cuts = 0.0, []
+    for side_g, side_h in sides:  # [cut of the first feature, bin of the second]
+        left_g, left_h = side_g.cumsum(1), side_h.cumsum(1)
+        rest_g, rest_h = left_g[:, -1:] - left_g[:, :-1], left_h[:, -1:] - left_h[:, :-1]
+        gain = left_g[:, :-1] ** 2 / (left_h[:, :-1] + 1) + rest_g**2 / (rest_h + 1)
+        cuts.append(gain.argmax(1) + 1)
+        gains = gains + gain.max(1)
+    at = int(gains.argmax())
+    out = np.zeros(g.shape)
+    for rows, cut in ((slice(0, at + 1), cuts[0][at]), (slice(at + 1, len(g)), cuts[1][at])):
         for cols in (slice(0, cut), slice(cut, g.shape[1])):
-            a, b = g[rows, cols].sum(), h[rows, cols].sum()
-            out[rows, cols] = a / (b + 1)
-            gain += a * a / (b + 1)
-    return gain, out
+            out[rows, cols] = g[rows, cols].sum() / (h[rows, cols].sum() + 1)
+    return float(gains[at]) - g.sum() ** 2 / (h.sum() + 1), out
 
 
 def fit_features(x: np.ndarray, y: np.ndarray) -> AdditiveModel:

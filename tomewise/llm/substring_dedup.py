@@ -98,13 +98,11 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(repeats, "digest").select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"), "keep_id")
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """Passages that repeat across documents: doc_id, start, stop (bytes of the text in UTF-8), removable_bytes, keep_id.
-
-    ``keep_id`` is the smallest id of a document that keeps a chunk of the passage, ``removable_bytes`` what other documents keep."""
-    found = repeated_chunks(df, id_col, text_col).repartition("doc_id").groupBy("doc_id", "start", "stop").agg(F.min("keep_id").alias("keep_id"))
+def _passages(found: DataFrame, least: int) -> DataFrame:
+    """Adjacent chunks (doc_id, start, stop, keep_id) joined into passages of at least ``least`` bytes."""
+    one = found.repartition("doc_id").groupBy("doc_id", "start", "stop").agg(F.min("keep_id").alias("keep_id"))
     order = Window.partitionBy("doc_id").orderBy("start")
-    runs = found.withColumn("new", (~F.col("start").eqNullSafe(F.lag("stop").over(order))).cast("long")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = one.withColumn("new", (~F.col("start").eqNullSafe(F.lag("stop").over(order))).cast("long")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     size = F.col("stop") - F.col("start")
     return (
         runs.groupBy("doc_id", "run")
@@ -114,10 +112,17 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """Passages that repeat across documents: doc_id, start, stop (bytes of the text in UTF-8), removable_bytes, keep_id.
+
+    ``keep_id`` is the smallest id of a document that keeps a chunk of the passage, ``removable_bytes`` what other documents keep."""
+    return _passages(repeated_chunks(df, id_col, text_col), least)
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """``df`` with passages cut out of ``text_col`` where they start in a document with a smaller id."""
+    """``df`` with those passages cut out of ``text_col`` all of whose chunks other documents with smaller ids keep."""
     spans, key = fresh(df, "spans"), fresh(df, "span_id")
-    passages = repeated_passages(df, id_col, text_col, least).where(F.col("keep_id") < F.col("doc_id"))
+    passages = _passages(repeated_chunks(df, id_col, text_col).where("keep_id < doc_id"), least)
     per_doc = passages.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans))
     place, index = df.columns.index(text_col), len(df.columns)
 

@@ -63,7 +63,7 @@ def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
-def frames(records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+def frames(records: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> Iterator[tuple[int, bytes]]:
     """(archive number, frame) of records: per archive the dictionary first (none if there is too little to learn from)."""
     archive, held, size, compress = 0, [], 0, None
 
@@ -81,10 +81,10 @@ def frames(records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
         else:
             yield archive, compress(r)
         size += len(r)
-        if compress is None and size >= SAMPLE_BYTES:
+        if compress is None and size >= sample_bytes:
             yield from begin()
             held = []
-        if size >= ARCHIVE_BYTES:
+        if size >= archive_bytes:
             archive, held, size, compress = archive + 1, [], 0, None
     if held:
         yield from begin()
@@ -134,7 +134,7 @@ def parse_record(data: bytes) -> tuple[int | None, str, str, int, str, int | Non
     return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], "response", len(payload), digest, None, payload
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> None:
     """Write a record per row to archives under ``path``."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).select(
@@ -154,7 +154,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     for row in part.to_pylist():
                         yield record(row["page_id"], row["url"], row["payload"], row["response"], row["revisit"], date)
 
-        for seq, (archive, frame) in enumerate(frames(records())):
+        for seq, (archive, frame) in enumerate(frames(records(), archive_bytes, sample_bytes)):
             yield pa.RecordBatch.from_arrays([pa.array([f"{place:06d}-{archive:04d}"]), pa.array([seq], pa.int64()), pa.array([frame], pa.binary())], ["archive", "seq", "frame"])
 
     out = told.mapInArrow(run, "archive string, seq long, frame binary").sortWithinPartitions("archive", "seq")
