@@ -6,9 +6,9 @@ import html
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tomewise.functions import titles
+from tomewise.functions.lazy import column_function
 
 TITLE = "key string, volume string, labels array<string>, editions array<string>, search_text string, whole_key string, key_without_volume_subtitle string, split_edition boolean"
 STAGES = "array<struct<name:string,params:map<string,string>,refinements:array<map<string,string>>>>"
@@ -18,33 +18,33 @@ def _each(values: pd.Series, f) -> pd.Series:
     return values.map(f, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@column_function("string")
 def nfkc(values: pd.Series) -> pd.Series:
     return _each(values, titles.nfkc)
 
 
-@F.pandas_udf("string")
+@column_function("string")
 def unescape_html(values: pd.Series) -> pd.Series:
     return _each(values, html.unescape)
 
 
-@F.pandas_udf("string")
+@column_function("string")
 def title_key(values: pd.Series) -> pd.Series:
     return _each(values, titles.title_key)
 
 
-@F.pandas_udf("string")
+@column_function("string")
 def volume_of(values: pd.Series) -> pd.Series:
     return _each(values, titles.volume_of)
 
 
-@F.pandas_udf(TITLE)
+@column_function(TITLE)
 def read_title(title: pd.Series, series: pd.Series) -> pd.DataFrame:
     """A null title reads as an empty one."""
     read = [asdict(titles.read_title(t or "", s)) for t, s in zip(title, series, strict=True)]
     return pd.DataFrame(read, columns=[c.split()[0] for c in TITLE.split(", ")])
 
 
-@F.pandas_udf(STAGES)
+@column_function(STAGES)
 def search_stages(title: pd.Series, authors: pd.Series, series: pd.Series) -> pd.Series:
     return pd.Series([[{"name": s.name, "params": s.params, "refinements": list(s.refinements)} for s in titles.search_stages(t or "", a or "", x)] for t, a, x in zip(title, authors, series, strict=True)], index=title.index)
