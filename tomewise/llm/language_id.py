@@ -77,8 +77,12 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> ContextTrees | None:
     """Learn from the rows of ``df`` with a language; None if there are none."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
+    # A draw by hash first leaves somewhat more rows of each language than are wanted, so that no task orders all rows of a frequent one.
+    drawn = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    share = F.pmod("hash", F.lit(1 << 40)) < F.lit((per_language + 10 * per_language**0.5 + 20) * (1 << 40)) / F.col("of")
+    drawn = drawn.join(F.broadcast(drawn.groupBy("lang").agg(F.count("*").alias("of"))), "lang").where(share)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
     ids = [tuple(r) for r in chosen.collect()]  # at most per_language for each language
     if not ids:
         return None
