@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewise.llm.common import fresh, id_text, mixed, slices, utf8
+from tomewise.llm.common import fresh, id_text, materialize, mixed, slices, utf8
 
 #: Mean and largest chunk, and the shortest passage that counts, in bytes.
 MEAN, LONGEST, LEAST = 28, 2048, 90
@@ -95,7 +95,8 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, start, stop and keep_id of each chunk that other documents have too."""
     rows = chunk_rows(df, id_col, text_col)
     repeats = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id")).where("keep_id < last_id").select("digest", "keep_id")
-    return rows.join(repeats, "digest").select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"), "keep_id")
+    # Written first, so that the join reads both sides from plain shuffles and Spark may split a frequent digest.
+    return rows.join(materialize(repeats, "repeats"), "digest").select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"), "keep_id")
 
 
 def _passages(found: DataFrame, least: int) -> DataFrame:
