@@ -134,6 +134,22 @@ def test_errors_stop_a_run_and_it_resumes(spark, store):
     assert enrichment.enrich(spark, store, Fake(answers()), lambda: NOW).targets == 4
 
 
+def test_flushes_wait_for_the_store(spark, store):
+    slept = []
+    with store.lock(), pytest.raises(enrichment.StoreLocked):
+        enrichment.patiently(lambda: store.commit({}), 30, slept.append)
+    assert slept == [1, 2, 4, 8, 10, 5]
+    held = store.lock()
+    held.__enter__()
+
+    def sleep(seconds):
+        slept.append(seconds)
+        held.__exit__(None, None, None)
+
+    assert enrichment.enrich(spark, store, Fake(answers()), lambda: NOW, where="asin = 'B000000000'", sleep=sleep).counts == {"found": 1} and slept[-1] == 1
+    assert state(spark, store) == {"0": "found"}
+
+
 def test_overrides(spark, store, tmp_path):
     enrichment.enrich(spark, store, Fake(answers()), lambda: NOW)
     path = tmp_path / "overrides.csv"

@@ -185,7 +185,7 @@ SELECT e.event_type, l.label, count(*) AS n FROM events e LEFT JOIN (VALUES ('cl
 """)
 def label_lookup(t: Tables) -> DataFrame:
     e = t("events")
-    labels = e.sparkSession.createDataFrame([("cli", "click"), ("pur", "purchase"), ("vie", "view")], "code string, label string")
+    labels = e.sparkSession.sql("SELECT * FROM VALUES ('cli', 'click'), ('pur', 'purchase'), ('vie', 'view') AS t(code, label)")  # a local relation
     return e.join(F.broadcast(labels), F.substring("event_type", 1, 3) == F.col("code"), "left").groupBy("event_type", "label").agg(F.count("*").alias("n"))
 
 
