@@ -76,9 +76,10 @@ def test_join_equals_brute_force(spark, monkeypatch):
 
 def test_join_of_odd_tables(spark):
     assert ngram_join.similarity_classes(spark.createDataFrame([], DOC)).count() == 0
-    same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], DOC)
+    same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (None, None), (None, "lone")], DOC)
     got = ngram_join.similarity_classes(same).collect()
-    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3), (None, None, 0), (None, None, 0)]
+    assert ngram_join.keep_one_per_class(same).count() == 5
 
 
 def test_pruning_bounds():

@@ -13,7 +13,8 @@ counts per document and a spanning forest of its links. A hot bucket or cluster
 
 Defined results: null text counts as empty; a text without words links with nothing and is a class by itself; a text of one to
 four words has one shingle of all its words; copies count as links of one another but are never expanded into pairs; rows that
-repeat an id count as copies; rows with null id are ignored; an empty table gives an empty result; extra columns are ignored.
+repeat an id count as copies; a row with null id has the class of its copies, null if none of them has an id (nothing else links with
+it then), and is never dropped; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -266,7 +267,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id among the documents it is linked with, directly or by others) and n_links (documents with similarity 0.8 or more)."""
-    docs = id_text(df, id_col, text_col).where("doc_id is not null")
+    docs = id_text(df, id_col, text_col)
     sets = materialize(_read_sets(docs, with_set=False), "sets")
     digest = ["d1", "d2", "size"]
     classes = materialize(sets.where("size > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
