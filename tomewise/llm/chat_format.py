@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomewise.llm.common import bounded
+
 KINDS = ("message", "delta", "edit", "regenerate")
 _CONTROL = re.compile(r"\\|</turn>|#{3,}")
 _TURN = re.compile(r"### ((?:\\.|[^\\\n]++)*+)\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
@@ -102,7 +104,7 @@ def format_log(log: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
             yield flush(rows)
 
     kind = F.col("kind").cast("string")
-    known = log.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), kind.alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("seq").cast("long").alias("seq"))
+    known = bounded(log).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), kind.alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("seq").cast("long").alias("seq"))
     ordered = known.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", F.col("kind") != "message", "kind", "role", "text")
     return ordered.select("conv_id", "turn", "kind", "role", "text").mapInArrow(run, "conv_id long, turn long, place long, role string, formatted string, loss_start long, loss_end long")
 

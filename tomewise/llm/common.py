@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+#: Text bytes that a Python worker handles at once, and bytes of an Arrow batch that brings them.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 #: Ids that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -55,9 +56,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in bytes, so that long texts don't fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([bkmg]?)b?", df.sparkSession.conf.get(key).lower())
+    if size is None or int(size[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH_BYTES:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that most operators read, as ``doc_id`` long and ``text`` string (null becomes empty)."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return bounded(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def slices(batch: pa.RecordBatch, text_col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

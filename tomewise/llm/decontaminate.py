@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewise.llm.common import WORD_BYTE, id_text, slices, word_spans
+from tomewise.llm.common import WORD_BYTE, bounded, id_text, slices, word_spans
 
 WINDOW = 10
 #: Bytes of patterns in one automaton.
@@ -163,6 +163,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     """The rows without a match, with all their columns."""
     # Own names for all columns, so that none clashes with what the scan adds.
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    read = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_read"))
+    read = bounded(docs).select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_read"))
     found = _scanned(read, "text_read", benchmark, window)
     return found.where(F.size("runs") == 0).select(*(F.col(n).alias(c) for c, n in names.items()))

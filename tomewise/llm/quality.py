@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewise.llm.common import fresh, id_text, slices, utf8, word_hashes, word_spans
+from tomewise.llm.common import bounded, fresh, id_text, slices, utf8, word_hashes, word_spans
 
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 20_000
@@ -213,5 +213,5 @@ def keep_good(df: DataFrame, model: AdditiveModel, text_col: str = "text", least
                 kept = part.filter(pa.array(model.score(features(part.column(read))) >= least))
                 yield kept.select(kept.schema.names[:-1])
 
-    with_text = df.withColumn(read, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    with_text = bounded(df).withColumn(read, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return with_text.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]))

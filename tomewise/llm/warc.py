@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import slices
+from tomewise.llm.common import bounded, slices
 
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, SALTS = 64 << 20, 2 << 20, 32 << 10, 3, 32
 #: Magic numbers of Zstandard: a frame, the skippable frames, the one of these that holds a dictionary. Fixed values.
@@ -137,7 +137,7 @@ def parse_record(data: bytes) -> tuple[int | None, str, str, int, str, int | Non
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> None:
     """Write a record per row to archives under ``path``."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).select(
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).select(
         "*", F.unhex(F.sha2("payload", 256)).alias("digest"), F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), F.lit(SALTS)).alias("salt")
     )
     winners = rows.groupBy("digest", "salt").agg(F.max("page_id").alias("response")).groupBy("digest").agg(F.max("response").alias("response"), F.collect_set("salt").alias("salts"))
