@@ -51,3 +51,14 @@ def latest_result(current: DataFrame, results: DataFrame, key: str, status: str,
     was = current.select(key, F.col(status).alias("was_"))
     taken = one.join(was, key, "left").where((F.col(status) != "error") | F.col("was_").isNull() | (F.col("was_") == "error")).drop("was_")
     return keyed_merge(current, taken, key)
+
+
+def key_candidates(df: DataFrame, row: str, key: str) -> DataFrame:
+    """Per row that shares a key with other rows the smallest of these (``candidate``) and how often it shares a key with another row (``n``).
+
+    Each key is told by its count and its two smallest rows, so no pair of rows is made. Null keys are shared with none."""
+    keys = df.where(F.col(key).isNotNull() & F.col(row).isNotNull()).select(row, key).distinct()
+    of = keys.groupBy(key).agg(F.count("*").alias("of_"), F.min(row).alias("lowest_")).where("of_ > 1")
+    second = keys.join(of, key).where(F.col(row) > F.col("lowest_")).groupBy(key).agg(F.min(row).alias("second_"))
+    other = F.when(F.col(row) == F.col("lowest_"), F.col("second_")).otherwise(F.col("lowest_"))
+    return keys.join(of.join(second, key), key).groupBy(row).agg(F.min(other).alias("candidate"), F.sum(F.col("of_") - 1).alias("n"))

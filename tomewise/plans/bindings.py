@@ -372,7 +372,19 @@ WITH k AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS key FROM part)
 SELECT a.p_partkey AS book, min(b.p_partkey) AS candidate, count(*) AS n FROM d a JOIN d b ON a.key = b.key AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50 GROUP BY a.p_partkey
 """)
 def key_join(t: Tables) -> DataFrame:
-    """Entity resolution: equi-join of exploded keys, then one row per book."""
-    keys = t("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("key")).distinct()
-    books = keys.where("p_partkey <= 50").select(F.col("p_partkey").alias("book"), "key")
-    return books.join(keys.withColumnRenamed("p_partkey", "candidate"), "key").where("book <> candidate").groupBy("book").agg(F.min("candidate").alias("candidate"), F.count("*").alias("n"))
+    """Entity resolution over all parts; the SQL asks for the first ones only. ``key_join_whole`` gives every part."""
+    return _key_join(t).where("book <= 50")
+
+
+def _key_join(t: Tables) -> DataFrame:
+    keys = t("part").select(F.col("p_partkey").alias("book"), F.explode(F.split("p_name", " ")).alias("key"))
+    return merging.key_candidates(keys, "book", "key")
+
+
+@query("""
+WITH k AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS key FROM part), d AS (SELECT DISTINCT p_partkey, key FROM k)
+SELECT a.p_partkey AS book, min(b.p_partkey) AS candidate, count(*) AS n FROM d a JOIN d b ON a.key = b.key AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey
+""")
+def key_join_whole(t: Tables) -> DataFrame:
+    """Entity resolution: rows that share exploded keys, one row per book."""
+    return _key_join(t)
