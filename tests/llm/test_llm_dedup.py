@@ -194,3 +194,22 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 0 < len(got) < 200
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE encoding and decoding"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_shared_runs_without_hash_cuts_are_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghé日", k=rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    # The least that 51 words take, one word repeated, and characters of several bytes, each in two documents after texts of any length.
+    runs = [" ".join(rng.choices("abcdefgh", k=51)) for _ in range(40)] + ["tok " * 60, "zz " * 51, "日 " * 51, "é" * 60]
+    docs = [(2 * k + side, f"{prose(rng.randint(1, 40))}|{run}|{prose(rng.randint(1, 40))}") for k, run in enumerate(runs) for side in (0, 1)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(docs, DOC)).collect()
+    text, by = {d: t.encode() for d, t in docs}, defaultdict(list)
+    for r in found:
+        by[r["doc_id"]].append((r["start"], r["stop"]))
+        assert text[r["doc_id"]][r["start"] : r["stop"]].decode() in text[r["doc_id"] ^ 1].decode()
+    for d, raw in text.items():
+        at = raw.index(b"|")
+        assert any(a < raw.index(b"|", at + 1) and b > at for a, b in by[d]), d
+    after = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, DOC)).collect()}
+    assert all(after[d] == t if d % 2 == 0 else len(after[d].encode()) <= len(t.encode()) - 90 for d, t in docs)
