@@ -213,3 +213,14 @@ def test_shared_runs_without_hash_cuts_are_found(spark):
         assert any(a < raw.index(b"|", at + 1) and b > at for a, b in by[d]), d
     after = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, DOC)).collect()}
     assert all(after[d] == t if d % 2 == 0 else len(after[d].encode()) <= len(t.encode()) - 90 for d, t in docs)
+
+
+def test_bits_of_different_documents_are_no_passage(spark):
+    rng = random.Random(13)
+    bits = ["".join(rng.choices("abcdefgh ", k=45)) for _ in range(40)]
+    docs = [(k, "".join(rng.choices("ijklmnop ", k=200)) + bit) for k, bit in enumerate(bits)] + [(100, "".join(bits))]
+    assert substring_dedup.repeated_passages(spark.createDataFrame(docs, DOC)).count() == 0
+    # Overlapping units of two documents, none of them of 90 bytes.
+    whole = "".join(rng.choices("abcdefgh ", k=130))
+    docs = [(1, whole[:85] + "x" * 50), (2, "y" * 50 + whole[46:]), (3, whole)]
+    assert substring_dedup.repeated_passages(spark.createDataFrame(docs, DOC)).count() == 0
