@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tomewise.llm import bpe, decontaminate, exact_dedup, token_counts
 from tomewise.llm.pretokens import load_vocabulary
-from tomewise.llm.queries import tokenizer_path
+from tomewise.llm.queries import OP1_SQL, tokenizer_path
 
 DOC = "doc_id long, text string"
 
@@ -133,3 +134,17 @@ def test_exact_dedup(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 199, 1001, 1002, 1002, 1003]
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_windows_of_items_without_id_are_hits(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "clean"), (3, f"a b c d e f g h i j {passage}")], DOC)
+    bench = spark.createDataFrame([(None, passage), (None, passage), (7, "a b c d e f g h i j")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in decontaminate.scan(docs, bench).collect()}
+    assert got == {1: (11, 1, [], True), 2: (0, 0, [], False), 3: (21, 2, ["7"], True)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [2]
+    con = duckdb.connect()
+    for name, frame in (("documents", docs), ("benchmark", bench)):
+        con.register(name, frame.toArrow())
+    want = con.sql(OP1_SQL)
+    assert sorted(map(tuple, decontaminate.scan(docs, bench).select(*want.columns).collect())) == sorted(want.fetchall())

@@ -9,7 +9,7 @@ A benchmark of one block (the usual case) is scanned in one pass by one automato
 automaton over the same rows, which merges its hits into those found so far, so memory stays bounded and no item is dropped.
 
 Defined results: null text or item has no words; an item without words never matches; of repeated item ids all windows count
-for the one id; items with equal windows are all reported; repeated rows give repeated results; an empty documents table
+for the one id; items with null id count as one item, which isn't listed; items with equal windows are all reported; repeated rows give repeated results; an empty documents table
 gives an empty result, an empty benchmark gives no hits; extra columns are kept by ``keep_clean`` and ignored by ``scan``.
 """
 
@@ -42,16 +42,16 @@ def _key(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def windows(items: list[tuple[str, str]], size: int = WINDOW) -> Iterator[dict[str, list[str]]]:
-    """Patterns with the ids of their items, in blocks of bounded size."""
-    block: dict[str, list[str]] = {}
+def windows(items: list[tuple[str | None, str]], size: int = WINDOW) -> Iterator[dict[str, list[str | None]]]:
+    """Patterns with the ids of their items (None for items without id), in blocks of bounded size."""
+    block: dict[str, list[str | None]] = {}
     held = 0
-    for item, text in sorted(items):
+    for item, text in sorted(items, key=lambda x: (x[0] is not None, x)):
         words = words_of(text.encode())
         for k in range(max(1, len(words) - size + 1) if words else 0):
             key = _key(words[k : k + size])
+            held += (0 if key in block else len(key)) + len(item or "")
             owners = block.setdefault(key, [])
-            held += (len(key) if not owners else 0) + len(item)
             if not owners or owners[-1] != item:
                 owners.append(item)
             if held > BLOCK_BYTES:
@@ -64,13 +64,13 @@ def windows(items: list[tuple[str, str]], size: int = WINDOW) -> Iterator[dict[s
 class Scanner:
     """The automaton of one block of patterns."""
 
-    def __init__(self, patterns: dict[str, list[str]]):
+    def __init__(self, patterns: dict[str, list[str | None]]):
         self.automaton = ahocorasick.Automaton()
         for key, items in patterns.items():
             self.automaton.add_word(key, (len(key), key.count(" ") - 1, items))
         self.automaton.make_automaton()
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Runs of words (first, one past the last) inside matches, and the items that match."""
         text, found, items = _key(words), [], set()
         for end, (size, n, owners) in self.automaton.iter(text):
@@ -104,9 +104,9 @@ def char_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]
     return [{"start": int(before[starts[a]]) - 1, "end": int(before[ends[b - 1] - 1])} for a, b in runs]
 
 
-def collect_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[tuple[str, str]]:
+def collect_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[tuple[str | None, str]]:
     """The test set; only a test set of bounded size may be given."""
-    return [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).collect()]
+    return [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).collect()]
 
 
 _FOUND = "n_words long, runs array<struct<first:int,last:int>>, items array<string>"
@@ -132,7 +132,7 @@ def _scanned(rows: DataFrame, text_col: str, benchmark: DataFrame, window: int)
                         new, more = scanner.hits(words) if scanner and words else ([], set())
                         n_words.append(len(words))
                         all_runs.append([{"first": a, "last": b} for a, b in merged([*((r["first"], r["last"]) for r in runs), *new])])
-                        all_items.append(sorted({*items, *more}))
+                        all_items.append(sorted({*items, *more}, key=lambda x: (x is not None, x or "")))
                     found = [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(all_items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*own.columns, *found], [*own.schema.names, "n_words", "runs", "items"])
 
@@ -145,13 +145,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            runs, items = part.column("runs").to_pylist(), part.column("items").to_pylist()
+            runs, found = part.column("runs").to_pylist(), part.column("items").to_pylist()
+            items = [[i for i in ids if i is not None] for ids in found]
             # Only the texts of rows with hits are looked at.
             spans = [char_spans(part.column("text")[i].as_py().encode(), [(r["first"], r["last"]) for r in rs]) if rs else [] for i, rs in enumerate(runs)]
             n_hit = [sum(r["last"] - r["first"] for r in rs) for rs in runs]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(hashlib.sha256(",".join(x).encode()).hexdigest() for x in items),
-                 pa.array([n > 0 for n in n_hit], pa.bool_()), part.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [part.column("doc_id"), part.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(hashlib.sha256(",".join(x).encode()).hexdigest() for x in items),
+                 pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
             )
 
