@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 import zstandard
@@ -104,3 +105,16 @@ def test_small_payloads_stay_responses(spark):
     path = shared_path(spark, "warc")
     warc.write_archives(spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "long enough"), (4, "d", "long enough")], "page_id long, url string, html string"), path, least=5)
     assert {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, path).collect()} == {1: None, 2: None, 3: 4, 4: None}
+
+
+def test_long_first_records_leave_a_dictionary():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(400)]
+    page = lambda n: " ".join(rng.choices(words, k=n)).encode()
+    records = [warc.record(i, f"http://x/{i}", page(400_000 if i == 0 else 60), None, False, "2000-01-01T00:00:00Z") for i in range(300)]
+    assert len(records[0]) > warc.SAMPLE_BYTES
+    made = [f for _, f in warc.frames(iter(records))]
+    assert int.from_bytes(made[0][4:8], "little") > 0 and list(warc.records_of(b"".join(made))) == records
+    plain = zstandard.ZstdCompressor(level=warc.LEVEL)
+    assert sum(map(len, made[2:])) < sum(len(plain.compress(r)) for r in records[1:])
+    assert [f[4:8] for _, f in warc.frames(iter(records[1:3]))][0] == bytes(4)  # too little to learn from

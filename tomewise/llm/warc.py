@@ -1,7 +1,7 @@
 """WARC archives with dictionary-compressed records.
 
 Each archive starts with a skippable frame that holds a Zstandard dictionary, built from the first records of that archive
-(at most ``SAMPLE_BYTES`` of them, a bounded sample); every record is a frame of its own compressed with it. An archive ends at
+(at most ``SAMPLE_BYTES`` of them, a bounded sample; from pieces of them where they are fewer than 8); every record is a frame of its own compressed with it. An archive ends at
 ``ARCHIVE_BYTES`` of records, so neither writer nor reader holds more than one such archive. Frames are written by Spark's text
 writer, whose line separator is set to an empty skippable frame: archives go to whatever store the path names, by any executor,
 with Spark's commit protocol. They are read as binary files.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tomewise.llm.common import bounded, slices
 
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, SALTS = 64 << 20, 2 << 20, 32 << 10, 3, 32
+#: Bytes of the pieces that fewer than 8 records are cut into to learn a dictionary.
+PIECE_BYTES = 4 << 10
 #: Magic numbers of Zstandard: a frame, the skippable frames, the one of these that holds a dictionary. Fixed values.
 _FRAME, _SKIPPABLE, _DICTIONARY = 0xFD2FB528, range(0x184D2A50, 0x184D2A60), 0x184D2A5D
 #: An empty skippable frame; all its bytes are ASCII.
@@ -57,6 +59,9 @@ def record(page: int | None, url: str | None, payload: bytes, response: int | No
 
 
 def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    if len(records) < 8:  # few, maybe long, records: learn from pieces of them, evenly taken
+        pieces = [r[k : k + PIECE_BYTES] for r in records for k in range(0, len(r), PIECE_BYTES)]
+        records = pieces[:: max(1, len(pieces) * PIECE_BYTES // SAMPLE_BYTES)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records, k=256, d=8) if len(records) >= 8 else None
     except zstandard.ZstdError:  # too little to learn from
