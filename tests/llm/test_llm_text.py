@@ -148,3 +148,10 @@ def test_windows_of_items_without_id_are_hits(spark):
         con.register(name, frame.toArrow())
     want = con.sql(OP1_SQL)
     assert sorted(map(tuple, decontaminate.scan(docs, bench).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_exact_dedup_of_ids_with_several_texts(spark):
+    docs = spark.createDataFrame([(5, "a"), (9, "a"), (5, "b"), (5, None), (7, ""), (7, "b")], DOC)
+    assert sorted(map(tuple, exact_dedup.drop_exact_duplicates(docs).collect())) == [(7, ""), (7, "b"), (9, "a")]
+    docs = spark.createDataFrame([(5, "a"), (9, "a"), (5, "b")], DOC)
+    assert sorted(map(tuple, exact_dedup.drop_exact_duplicates(docs).collect())) == [(5, "b"), (9, "a")]

@@ -41,11 +41,17 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id isn't in ``ids`` (doc_id); ids are broadcast only if their number, counted first, allows it."""
-    dropped = materialize(ids.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+def without(df: DataFrame, ids: DataFrame, id_col: str, text_col: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose id isn't in ``ids`` (doc_id); ids are broadcast only if their number, counted first, allows it.
+
+    With ``text_col``, ``ids`` has text_sha256 too, and only rows of that text go."""
+    columns = [F.col("doc_id").alias("dropped_id"), *([F.col("text_sha256").alias("dropped_sha256")] if text_col else [])]
+    dropped = materialize(ids.select(*columns).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(dropped) if few else dropped, df[id_col].cast("long") == dropped["dropped_id"], "left_anti")
+    same = df[id_col].cast("long") == dropped["dropped_id"]
+    if text_col:
+        same &= F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256) == dropped["dropped_sha256"]
+    return df.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
 
 
 def fresh(df: DataFrame, name: str) -> str:

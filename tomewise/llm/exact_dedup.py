@@ -46,5 +46,5 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id wins its group, with all their columns; rows with null id stay."""
-    return without(df, exact_duplicates(df, id_col, text_col).where("not kept").select("doc_id"), id_col)
+    """The rows of ``df`` whose id wins the group of their text, with all their columns; rows with null id stay."""
+    return without(df, exact_duplicates(df, id_col, text_col).where("not kept"), id_col, text_col)
