@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tomewise.llm import decontaminate, ngram_join, quality, substring_dedup
+from tomewise.llm import ngram_join, quality, substring_dedup
 from tomewise.llm.common import utf8
 from tomewise.llm.components import components
 from tomewise.llm.queries import bpe_digests, table, tokenizer_path
@@ -23,26 +23,31 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_classes(docs):
-    sets = {d: shingles(t) for d, t in docs}
-    up = {d: d for d in sets}
-    links = defaultdict(int)
+def brute_rows(docs):
+    """(class_id, n_links) of each row, and whether it stays; ids may repeat or be null."""
+    sets, up, links = [shingles(t) for _, t in docs], list(range(len(docs))), [0] * len(docs)
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
+    for a in range(len(docs)):
+        for b in range(a):
             common = len(sets[a] & sets[b])
             if common and 5 * common >= 4 * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
-                x, y = sorted((top(a), top(b)))
-                up[y] = x
-    return {d: (top(d), links[d]) for d in ids}
+                up[top(a)] = top(b)
+    ids = defaultdict(list)
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            ids[top(i)].append(d)
+    return [(min(ids[top(i)], default=None), links[i]) for i in range(len(docs))]
+
+
+def brute_classes(docs):
+    return {d: r for (d, _), r in zip(docs, brute_rows(docs), strict=True)}
 
 
 def near_copies(seed=4):
@@ -64,9 +69,10 @@ def test_join_equals_brute_force(spark, monkeypatch):
     docs = near_copies()
     frame = spark.createDataFrame(docs, DOC).withColumn("rep", F.lit(1)).withColumn("cluster", F.lit("c"))
     want = brute_classes(docs)
-    for block, ids in ((ngram_join.BLOCK, ngram_join.BROADCAST_IDS), (3, 0)):  # whole groups, then many blocks and no broadcast
-        monkeypatch.setattr(ngram_join, "BLOCK", block)
-        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
+    small = {"LEAST": 3, "SPREAD": 90, "LEAST_SETS": 2, "SPREAD_SETS": 90, "BROADCAST_IDS": 0, "_SLAB": 7, "_CHUNK": 5}
+    for change in ({}, small, {"BLOCK_BYTES": 4000}):  # whole groups, then many blocks and no broadcast, then blocks cut by bytes
+        for name, value in change.items():
+            monkeypatch.setattr(ngram_join, name, value)
         got = ngram_join.similarity_classes(frame).collect()
         assert len(got) == len(docs)
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
@@ -82,6 +88,45 @@ def test_join_of_odd_tables(spark):
     assert ngram_join.keep_one_per_class(same).count() == 5
 
 
+def test_join_of_repeated_and_null_ids(spark, monkeypatch):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        docs = [(rng.choice([None, *range(25)]), t) for _, t in near_copies(seed)]
+        docs += rng.choices(docs, k=15)
+        got = ngram_join.similarity_classes(spark.createDataFrame(docs, DOC)).collect()
+        want = [(d, c if t and shingles(t) else d, n) for (d, t), (c, n) in zip(docs, brute_rows(docs), strict=True)]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, base), (2, base + " ee"), (1, "something else altogether that nobody repeats here")], DOC)
+    got = sorted(map(tuple, ngram_join.similarity_classes(docs).collect()))
+    assert got == [(1, 1, 0), (1, 1, 1), (2, 1, 1)]
+    assert sorted(r["text"] for r in ngram_join.keep_one_per_class(docs).collect()) == sorted([base, "something else altogether that nobody repeats here"])
+    # One id over both sides of a link: one text stays.
+    docs = spark.createDataFrame([(1, base), (1, base + " ee"), (None, base + " ff")], DOC)
+    assert [r["n_links"] for r in ngram_join.similarity_classes(docs).collect()] == [2, 2, 2]
+    assert ngram_join.keep_one_per_class(docs).count() == 2
+
+
+def test_recall(spark):
+    """Links found among links there are, over random texts whose similarities lie around the threshold."""
+    rng, docs = random.Random(6), []
+    for k in range(100):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(30, 200))]
+        for c in range(5):
+            words = list(base)
+            for at in rng.sample(range(len(words)), k=len(words) * c // 110 + c % 2):
+                words[at] = f"u{rng.randrange(10**6)}"
+            docs.append((5 * k + c, " ".join(words)))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.similarity_classes(spark.createDataFrame(docs, DOC)).collect()}
+    want = {d: n for d, (_, n) in brute_classes(docs).items()}
+    assert all(got[d] <= want[d] for d in want)
+    assert 400 < sum(want.values()) < 1900 and sum(got.values()) >= 0.99 * sum(want.values())
+
+
 def test_pruning_bounds():
     least = ngram_join.least_matches()
     assert (np.diff(least) > 0).all() and least[-1] < 0.8 * ngram_join.HASHES
@@ -186,8 +231,10 @@ def test_pipeline_equals_brute_force(spark):
     docs = [(d, t) for d, t in docs if last[t or ""] == d]
     classes = brute_classes(docs)
     docs = [(d, t) for d, t in docs if classes[d][0] == d]
-    windows = list(decontaminate.windows(decontaminate.collect_items(table(spark, SF, "benchmark"))))
-    clean = lambda t: not any(key in decontaminate._key(decontaminate.words_of((t or "").encode())) for block in windows for key in block)
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    runs = {tuple(w[k : k + 10]) for r in table(spark, SF, "benchmark").collect() if (w := words(r["text"])) for k in range(max(1, len(w) - 9))}
+    sizes = {len(r) for r in runs}
+    clean = lambda t: not any(tuple(w[k : k + n]) in runs for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))
     docs = [(d, t) for d, t in docs if clean(t)]
     want = bpe_digests(spark.createDataFrame(docs, DOC), tokenizer_path()).collect()
     got = corpus_pipeline.run(spark, SF).collect()

@@ -10,19 +10,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once, and bytes of an Arrow batch that brings them.
 SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
-#: Ids that may be broadcast; more of them are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids that may be broadcast (about 100 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tomewise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,16 +43,40 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(df: DataFrame, ids: DataFrame, id_col: str, text_col: str | None = None) -> DataFrame:
-    """The rows of ``df`` whose id isn't in ``ids`` (doc_id); ids are broadcast only if their number, counted first, allows it.
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    With ``text_col``, ``ids`` has text_sha256 too, and only rows of that text go."""
-    columns = [F.col("doc_id").alias("dropped_id"), *([F.col("text_sha256").alias("dropped_sha256")] if text_col else [])]
-    dropped = materialize(ids.select(*columns).distinct(), "dropped")
+
+def join_salted(rows: DataFrame, told: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``told``, which has one row for each of ``keys`` and the number of ``rows`` with them in ``size``.
+
+    A key with more than a quarter of an average partition is salted: its rows are dealt by input split, its row of ``told`` is sent
+    to each salt. At most four keys for each shuffle partition can be that large, so the broadcast list of them is small whatever the
+    input. ``total`` is the sum of ``size`` where it is known. ``told`` is read several times and should be a table or cheap."""
+    quarters = 4 * shuffle_partitions(rows.sparkSession)
+    total = told.agg(F.sum(size)).first()[0] if total is None else total
+    if not total:
+        return rows.join(told, keys)
+    salts = F.ceil(F.col(size) * quarters / total).cast("int")
+    hot = told.where(salts > 1).select(*keys, salts.alias("salts_"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt_", F.coalesce(F.pmod(F.spark_partition_id(), F.col("salts_")), F.lit(0))).drop("salts_")
+    copies = told.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(copies, [*keys, "salt_"]).drop("salt_")
+
+
+def text_key(text: str | Column) -> list[Column]:
+    """Two 64-bit hashes of a text, ``t1`` and ``t2``: with its id they tell a row from others of that id."""
+    return [F.xxhash64(F.lit(k), F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit(""))).alias(f"t{k}") for k in (1, 2)]
+
+
+def without(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` without the rows (doc_id, t1, t2; ids aren't null), all of them told by id and text, since an id may repeat.
+
+    The list is broadcast only if its size, counted first, allows it."""
+    dropped = materialize(rows.select(F.col("doc_id").alias("dropped_id"), F.col("t1").alias("dropped_t1"), F.col("t2").alias("dropped_t2")).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    same = df[id_col].cast("long") == dropped["dropped_id"]
-    if text_col:
-        same &= F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256) == dropped["dropped_sha256"]
+    t1, t2 = text_key(df[text_col].cast("string"))
+    same = (df[id_col].cast("long") == dropped["dropped_id"]) & (t1 == dropped["dropped_t1"]) & (t2 == dropped["dropped_t2"])
     return df.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
 
 

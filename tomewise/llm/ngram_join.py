@@ -6,15 +6,20 @@ probability (1 - 0.8**4)**32, under 1e-7. For each candidate pair MinHash values
 posterior probability (uniform prior) that the similarity reaches the threshold is looked up, and the pair is dropped when it is
 below ``TOLERANCE``. The pairs left are verified exactly on their whole shingle sets.
 
-No pair ever becomes a row. Buckets are cut into blocks of at most about ``BLOCK`` representatives, each two blocks meet in one
-task, and what a task returns is a spanning forest of its surviving pairs. The components of these forests hold every surviving
-pair; they are cut into blocks again, joined with their shingle sets once per pair of blocks, and verified; a task returns link
-counts per document and a spanning forest of its links. A hot bucket or cluster is thus spread over many tasks, none of them large.
+No pair ever becomes a row. Buckets are cut into blocks, each two blocks meet in one task, and what a task returns is a spanning forest
+of its surviving pairs. The components of these forests hold every surviving pair; they are cut into blocks again, in order of
+set size, joined with their shingle sets, and verified where two blocks' sizes allow a similarity of 0.8; a task returns link counts
+per class and a spanning forest of its links. A group is cut into a fixed number of blocks at most until a block would hold more than
+``BLOCK_BYTES``, so a class is sent to at most ``SPREAD`` tasks however large its group is, until bytes force more; the pairs of
+blocks of one group go to consecutive partitions, so no two of them meet in one by chance.
+
+A class of equal sets is told by its digest, never by an id, so texts that share an id by mistake keep their own links.
 
 Defined results: null text counts as empty; a text without words links with nothing and is a class by itself; a text of one to
 four words has one shingle of all its words; copies count as links of one another but are never expanded into pairs; rows that
-repeat an id count as copies; a row with null id has the class of its copies, null if none of them has an id (nothing else links with
-it then), and is never dropped; an empty table gives an empty result; extra columns are ignored.
+repeat an id count as copies if their sets are equal and as documents of their own else; a class is named by the smallest id in it, so
+classes that share that id by mistake have one name; a row with null id links like any other but names no class (null if no row of its
+class has an id) and is never dropped; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +28,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import BROADCAST_IDS, id_text, materialize, mixed, slices, utf8, without, word_hashes, word_spans
+from tomewise.llm.common import BROADCAST_IDS, id_text, join_salted, materialize, mixed, shuffle_partitions, slices, text_key, utf8, without, word_hashes, word_spans
 from tomewise.llm.components import components
 
-WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 5, 0.8, 32, 4, 16, 1e-6, 512
+WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
+#: Bytes of a block at most; rows that a group has before it is cut, and blocks that it is cut into before bytes force more, for candidates and for sets.
+BLOCK_BYTES, LEAST, SPREAD, LEAST_SETS, SPREAD_SETS = 4 << 20, 512, 8, 128, 16
+#: Rows of whole groups that are worked on together, and pairs of them at once.
+_CHUNK, _SLAB = 4096, 1 << 15
 _FACTORS = mixed(np.arange(7001, 7001 + HASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mixed(np.arange(9001, 9001 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -105,64 +115,87 @@ def likely(signature: np.ndarray, x: np.ndarray, y: np.ndarray, least: np.ndarra
     return kept
 
 
-def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """A star to the smallest id for each component of the pairs."""
-    up: dict[int, int] = {}
-
-    def top(i: int) -> int:
-        while up.setdefault(i, i) != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True):
-        a, b = top(a), top(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return [(top(i), i) for i in up if top(i) != i]
-
+def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the pairs, as two columns of ids."""
+    top = np.arange(len(ids))
+    while not ((a := top[x]) == (b := top[y])).all():
+        least = np.minimum(a, b)
+        np.minimum.at(top, a, least)
+        np.minimum.at(top, b, least)
+        top = top[top]
+    top = top[top]
+    other = np.flatnonzero(top != np.arange(len(ids)))
+    return ids[top[other]], ids[other]
+
+
+def _slabs(bounds: np.ndarray, block: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of rows of several groups, never many at once: all of a group of one block, those between two blocks else."""
+    starts, sizes = bounds[:-1], np.diff(bounds)
+    whole = first[starts] == second[starts]
+    x, y, held = [], [], 0
+    for size in np.unique(sizes[whole & (sizes > 1) & (sizes <= 128)]):
+        i, j = np.triu_indices(size, 1)
+        at = starts[whole & (sizes == size)]
+        step = max(1, _SLAB // len(i))
+        for k in range(0, len(at), step):
+            x.append((at[k : k + step, None] + i).ravel())
+            y.append((at[k : k + step, None] + j).ravel())
+            held += len(x[-1])
+            if held >= _SLAB:
+                yield np.concatenate(x), np.concatenate(y)
+                x, y, held = [], [], 0
+    if held:
+        yield np.concatenate(x), np.concatenate(y)
+    for g in np.flatnonzero(~whole | (sizes > 128)):
+        rows = np.arange(bounds[g], bounds[g + 1])
+        left, right = (rows, rows) if whole[g] else (rows[block[rows] == first[rows[0]]], rows[block[rows] == second[rows[0]]])
+        step = max(1, _SLAB // max(1, len(right)))
+        for k in range(0, len(left), step):
+            own = left[k : k + step]
+            a, b = np.repeat(own, len(right)), np.tile(right, len(own))
+            yield (a[a < b], b[a < b]) if whole[g] else (a, b)
 
-def _pairs(block: np.ndarray, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group's rows: all of one block, or those between two."""
-    if first == second:
-        return np.triu_indices(len(block), 1)
-    x, y = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    return np.repeat(x, len(y)), np.tile(y, len(x))
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, size: str, most: int = 2 * BLOCK_BYTES) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (runs of equal values in the first ``keys`` columns, even where they span batches) with the bounds of these.
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of equal values in the first ``keys`` columns, whole even where they span batches."""
+    A table ends with the group that reaches ``_CHUNK`` rows or ``most`` bytes in column ``size``."""
     held: list[pa.RecordBatch] = []
+    bounds, rows, load, last = [0], 0, 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], 1)
+        ends = np.cumsum(pc.binary_length(batch.column(size)).to_numpy(zero_copy_only=False).astype(np.int64))
         cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            piece = batch.slice(a, b - a)
-            if held and any(held[-1].column(k)[0] != piece.column(k)[0] for k in range(keys)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(piece)
+            key = tuple(values[a].tolist())
+            if last is not None and key != last:
+                bounds.append(rows)
+                if rows >= _CHUNK or load >= most:
+                    yield pa.Table.from_batches(held), np.array(bounds)
+                    held, bounds, rows, load = [], [0], 0, 0
+            held.append(batch.slice(a, b - a))
+            rows, load, last = rows + b - a, load + int(ends[b - 1] - (ends[a - 1] if a else 0)), key
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), np.array([*bounds, rows])
 
 
 def _fixed(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _in_blocks(rows: DataFrame, key: str, size: str, item: str) -> DataFrame:
-    """``rows`` once for each pair of blocks that their key's group is cut into, with columns block, first, second."""
-    parts = F.ceil(F.col(size) / BLOCK).cast("int")
-    dealt = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return other.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("parts", "other")
+def _n_blocks(n: Column, load: Column, least: int, spread: int) -> Column:
+    """Blocks of a group of ``n`` rows and ``load`` bytes."""
+    return F.greatest(F.ceil(load / BLOCK_BYTES), F.least(F.ceil(n / least), F.lit(spread))).cast("int")
 
 
-def _meet(rows: DataFrame, keys: list[str], columns: list[str], run: Callable, schema: str) -> DataFrame:
-    """Bring each group of equal ``keys`` together in one task, one group after another."""
-    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+def _meet(rows: DataFrame, group: str, columns: list[str], run: Callable, schema: str) -> DataFrame:
+    """Bring each two blocks (``first``, ``second``) of a group together in one task, one pair after another."""
+    parts = shuffle_partitions(rows.sparkSession)
+    place = F.pmod(F.pmod(F.xxhash64(group), F.lit(parts)) + (F.col("second").cast("long") * (F.col("second") + 1) / 2).cast("long") + F.col("first"), F.lit(parts)).cast("int")
+    keys = [group, "first", "second"]
+    return rows.select(*keys, *columns, place.alias("place_")).repartitionById(parts, F.col("place_")).drop("place_").sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _read_sets(rows: DataFrame, with_set: bool) -> DataFrame:
@@ -202,99 +235,158 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(keys.reshape(-1).view(np.int64))], ["rep", "band", "key"])
 
 
+def _survivors(table: pa.Table, bounds: np.ndarray, sig: np.ndarray, size: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that sizes allow to be similar and that incremental comparison keeps."""
+    block, first, second = (table[c].to_numpy() for c in ("block", "first", "second"))
+    for x, y in _slabs(bounds, block, first, second):
+        fits = 5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])
+        x, y = x[fits], y[fits]
+        kept = likely(sig, x, y, least)
+        if len(kept):
+            yield x[kept], y[kept]
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forests of the pairs of a bucket that meet here for the first time and survive pruning."""
     least = least_matches()
-    for group in _groups(batches, 3):
-        ids, block = group["rep"].to_numpy(), group["block"].to_numpy()
-        band, first, second = (group[c][0].as_py() for c in ("band", "first", "second"))
-        sig = _fixed(group["sig"], np.uint32, HASHES)
-        x, y = _pairs(block, first, second)
+    for table, bounds in _groups(batches, 3, "sig"):
+        ids, band, size = (table[c].to_numpy() for c in ("rep", "band", "size"))
+        sig = _fixed(table["sig"], np.uint32, HASHES)
         keys = band_keys(sig)
-        met = np.zeros(len(x), bool)
-        for b in range(band):  # an earlier band has this pair too
-            met |= keys[x, b] == keys[y, b]
-        new = ~met & (ids[x] != ids[y])
-        x, y = x[new], y[new]
-        kept = likely(sig, x, y, least)
-        if edges := forest(ids, x[kept], y[kept]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["a", "b"])
+        found = []
+        for x, y in _survivors(table, bounds, sig, size, least):
+            new = (keys[x] == keys[y]).argmax(1) == band[x]  # no earlier band has this pair too
+            found.append((x[new], y[new]))
+        if found:
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in forest(ids, x, y)], ["a", "b"])
+
+
+def _similar(places: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Of pairs of sets (numbers of their shingles from ``begin`` on) whether their Jaccard similarity is 0.8 or more."""
+    real, size = np.zeros(len(x), bool), np.diff(begin)
+    order = np.argsort(x, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(order) else []:
+        a, others = x[run[0]], y[run]
+        mark[places[begin[a] : begin[a + 1]]] = True
+        low, high = others.min(), others.max() + 1
+        if begin[high] - begin[low] <= 4 * size[others].sum():  # most of that stretch is compared: one look-up for all
+            common = np.add.reduceat(mark[places[begin[low] : begin[high]]], begin[low:high] - begin[low], dtype=np.int64)[others - low]
+        else:
+            common = np.array([mark[places[begin[b] : begin[b + 1]]].sum() for b in others])
+        real[run] = 5 * common >= 4 * (size[a] + size[others] - common)  # in integers
+        mark[places[begin[a] : begin[a + 1]]] = False
+    return real
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Link counts of a cluster's documents, and forests of the links (as rows with null links)."""
+    """Link counts of a cluster's classes, and forests of the links (as rows with null links)."""
     least = least_matches()
-    for group in _groups(batches, 3):
-        ids, at = np.unique(group["rep"].to_numpy(), return_index=True)  # a repeated id has one set
-        take = pa.array(at)
-        block, copies = group["block"].take(take).to_numpy(), group["copies"].take(take).to_numpy()
-        first, second = group["first"][0].as_py(), group["second"][0].as_py()
-        sig, raw = _fixed(group["sig"].take(take), np.uint32, HASHES), group["shingles"].take(take).to_pylist()
-        x, y = _pairs(block, first, second)
-        keys, share = band_keys(sig), np.zeros(len(x), bool)
-        for b in range(BANDS):
-            share |= keys[x, b] == keys[y, b]
-        x, y = x[share], y[share]
-        kept = likely(sig, x, y, least)
-        x, y = x[kept], y[kept]
-        sets = [np.frombuffer(s, np.uint64) for s in raw]
-        size = np.array([len(s) for s in sets])
-        _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    for table, bounds in _groups(batches, 3, "shingles"):
+        ids, copies, size = (table[c].to_numpy() for c in ("rep", "copies", "size"))
+        sig = _fixed(table["sig"], np.uint32, HASHES)
         begin = np.concatenate([[0], np.cumsum(size)])
-        links, real = np.zeros(len(ids), np.int64), np.zeros(len(x), bool)
-        mark = np.zeros(int(places.max()) + 1, bool)
-        order = np.argsort(x, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(order) else []:
-            a = x[run[0]]
-            mine = places[begin[a] : begin[a + 1]]
-            mark[mine] = True
-            for p in run:
-                b = y[p]
-                common = int(mark[places[begin[b] : begin[b + 1]]].sum())
-                real[p] = 5 * common >= 4 * (size[a] + size[b] - common)  # Jaccard of at least 0.8, in integers
-            mark[mine] = False
-        x, y = x[real], y[real]
-        np.add.at(links, x, copies[y])
-        np.add.at(links, y, copies[x])
-        edges = forest(ids, x, y)
+        known, places = np.unique(_fixed(table["shingles"], np.uint64, 1)[:, 0], return_inverse=True)
+        mark, found = np.zeros(len(known), bool), []
+        for x, y in _survivors(table, bounds, sig, size, least):
+            real = _similar(places, begin, x, y, mark)
+            found.append((x[real], y[real]))
+        if not found:
+            continue
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        links = np.bincount(x, weights=copies[y], minlength=len(ids)) + np.bincount(y, weights=copies[x], minlength=len(ids))
         has = np.flatnonzero(links)
-        if len(has):
-            a = np.concatenate([ids[has], np.array([e[0] for e in edges], np.int64)])
-            b = np.concatenate([ids[has], np.array([e[1] for e in edges], np.int64)])
-            n = [*links[has].tolist(), *[None] * len(edges)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n, pa.int64())], ["a", "b", "links"])
+        a, b = forest(ids, x, y)
+        n = [*links[has].astype(np.int64).tolist(), *[None] * len(a)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[has], a])), pa.array(np.concatenate([ids[has], b])), pa.array(n, pa.int64())], ["a", "b", "links"])
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of pairs of classes that share a band and survive pruning, enough of them to connect all such pairs."""
+    keys = classes.select("rep", "sig").mapInArrow(_band_rows, "rep long, band int, key long")
+    crowds = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    crowded = join_salted(keys, crowds, ["key"], "n").join(classes.select("rep", "size", "sig"), "rep")
+    parts = _n_blocks(F.col("n"), F.col("n") * 4 * HASHES, LEAST, SPREAD)
+    dealt = crowded.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = other.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    return _meet(pairs, "key", ["band", "block", "rep", "size", "sig"], _prune, "a long, b long")
 
 
-def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id among the documents it is linked with, directly or by others) and n_links (documents with similarity 0.8 or more)."""
-    docs = id_text(df, id_col, text_col)
+def _laid_out(members: DataFrame) -> DataFrame:
+    """(cluster, size, n, start, bytes, load, parts, low, high): where the ``n`` classes of a size lie in their cluster, which is laid out by size.
+
+    Those of one size are spread evenly over ``bytes`` from ``start`` on, of ``load`` in all; a block is an equal part of these. ``low`` to
+    ``high`` are the blocks of sizes from 0.8 to 1.25 of this one. Only counts per size are ordered, never classes."""
+    sizes = members.groupBy("cluster", "size").agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * (8 * F.col("size") + 4 * HASHES))
+    whole = Window.partitionBy("cluster")
+    laid = sizes.select("*", F.sum("bytes").over(whole.orderBy("size")).alias("stop"), F.sum("bytes").over(whole).alias("load"), F.sum("n").over(whole).alias("all"))
+    laid = laid.withColumn("parts", _n_blocks(F.col("all"), F.col("load"), LEAST_SETS, SPREAD_SETS)).withColumn("start", F.col("stop") - F.col("bytes"))
+    laid = laid.withColumn("log", (F.log("size") * 1_000_000).cast("long"))
+    reach = whole.orderBy("log").rangeBetween(-223_150, 223_150)  # ln 1.25, and a little more
+    return laid.select("cluster", "size", "n", "start", "bytes", "load", "parts", F.min(_block("start")).over(reach).alias("low"), F.max(_block(F.col("stop") - 1)).over(reach).alias("high"))
+
+
+def _block(at: str | Column) -> Column:
+    at = F.col(at) if isinstance(at, str) else at
+    return F.least(F.floor(at * F.col("parts") / F.col("load")).cast("int"), F.col("parts") - 1)
+
+
+def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, links): the links of class ``a``, and with null links edges that connect all links."""
+    near = components(_candidates(classes)).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    members = materialize(near.join(classes.select("rep", "size", "copies", "least"), "rep"), "members")
+    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30)
+    placed = join_salted(members, materialize(_laid_out(members), "laid"), ["cluster", "size"], "n").select(
+        "rep", "cluster", "copies", _block(F.col("start") + F.floor(share * F.col("bytes"))).alias("block"), "low", "high", *(F.col(f"least.{c}").alias(f"own_{c}") for c in ("doc_id", "t1", "t2"))
+    )
+    picked = materialize(placed, "picked")
+    n = picked.count()
+    own = F.broadcast(picked) if n <= BROADCAST_IDS else picked
+
+    def of(rows: DataFrame) -> DataFrame:
+        return rows.join(own, rows["doc_id"].eqNullSafe(F.col("own_doc_id")) & (rows["t1"] == F.col("own_t1")) & (rows["t2"] == F.col("own_t2")))
+
+    texts = of(docs).select("doc_id", "text", "rep", "cluster", "copies", "block", "low", "high")
+    if of(sets.select("doc_id", "t1", "t2")).count() > n:  # whole rows are repeated
+        texts = texts.dropDuplicates(["rep"])
+    whole = _read_sets(texts, with_set=True).withColumn("other", F.explode(F.sequence("low", "high")))
+    whole = whole.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    return _meet(whole, "cluster", ["block", "rep", "copies", "size", "sig", "shingles"], _verify, "a long, b long, links long")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t1, t2, class_id, n_links and stays (whether a row is the one of its class that stays) of each row."""
+    docs = id_text(df, id_col, text_col).select("doc_id", "text", *text_key("text"))
     sets = materialize(_read_sets(docs, with_set=False), "sets")
     digest = ["d1", "d2", "size"]
-    classes = materialize(sets.where("size > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = materialize(sets.join(classes, digest).where("doc_id = rep").select("rep", "copies", "sig"), "reps")
-
-    keys = reps.select("rep", "sig").mapInArrow(_band_rows, "rep long, band int, key long")
-    crowded = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    candidates = _in_blocks(crowded.join(reps.select("rep", "sig"), "rep"), "key", "n", "rep")
-    near = components(_meet(candidates, ["key", "first", "second"], ["band", "block", "rep", "sig"], _prune, "a long, b long"))
-
-    members = near.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    size = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = materialize(members.join(size, "cluster").join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id").dropDuplicates(["doc_id"]), "members")
-    few = members.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(members) if few else members, "doc_id")
-    whole = _in_blocks(_read_sets(texts, with_set=True).withColumnRenamed("doc_id", "rep"), "cluster", "n", "rep")
-    verified = materialize(_meet(whole, ["cluster", "first", "second"], ["block", "rep", "copies", "sig", "shingles"], _verify, "a long, b long, links long"), "links")
-    links = verified.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = components(verified.where("links is null").select("a", "b")).select(F.col("node").alias("rep"), "root")
-
-    told = classes.join(links, "rep", "left").join(roots, "rep", "left").select(
-        *digest, F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    full = sets.where("size > 0").select("doc_id", *digest).join(told, digest).select("doc_id", "class_id", "n_links")
-    return full.unionByName(sets.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
+    classes = sets.where("size > 0").groupBy(*digest).agg(least.alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), *digest, "copies", "least", "sig"), "classes")
+
+    found = materialize(_links(docs, sets, classes), "links")
+    links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    roots = components(found.where("links is null").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    linked = materialize(classes.drop("sig").join(links, "rep", "left").join(roots, "rep", "left").select("root", *digest, "copies", "least", n_links), "linked")
+    joined = linked.where("root is not null")
+    groups = materialize(joined.groupBy("root").agg(F.min("least").alias("key"), F.count("*").alias("n")), "groups")
+    columns = [*digest, "copies", "n_links", "key"]
+    told = join_salted(joined, groups, ["root"], "n").select(*columns).unionByName(linked.where("root is null").withColumnRenamed("least", "key").select(*columns))
+
+    full = join_salted(sets.where("size > 0").select("doc_id", "t1", "t2", *digest), materialize(told, "told"), digest, "copies")
+    stays = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("key.doc_id")) & (F.col("t1") == F.col("key.t1")) & (F.col("t2") == F.col("key.t2")))
+    full = full.select("doc_id", "t1", "t2", F.col("key.doc_id").alias("class_id"), "n_links", stays.alias("stays"))
+    return full.unionByName(sets.where("size = 0").select("doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays")))
+
+
+def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest id among the documents it is linked with, directly or by others) and n_links (documents with similarity 0.8 or more)."""
+    return _rows(df, id_col, text_col).select("doc_id", "class_id", "n_links")
 
 
 def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` but for those that a document with a smaller id in their class stands for."""
-    return without(df, similarity_classes(df, id_col, text_col).where("doc_id <> class_id").select("doc_id"), id_col)
+    """One row of each class, that with the smallest id (of a repeated id the smallest text key), and all rows without id.
+
+    Rows that repeat it as a whole stay with it."""
+    return without(df, _rows(df, id_col, text_col).where("not stays").select("doc_id", "t1", "t2"), id_col, text_col)
