@@ -1,12 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts and items become words: bytes lower-cased (A-Z only), cut at ASCII characters that are neither letter nor digit. Each
-run of ``WINDOW`` words of an item is a pattern; an item of fewer words, but not none, is one pattern. Every text is scanned once
-in its normalised form; a match is mapped back through word numbers to character offsets of the original text.
+run of ``WINDOW`` words of an item is a pattern; an item of fewer words, but not none, is one pattern. The automaton's letters are words,
+numbered as the benchmark has them, so it has a node for a word of a pattern rather than for a byte. Every text is scanned once in its
+normalised form; a match is a run of word numbers, mapped back to character offsets of the original text.
 
-The patterns are broadcast, so their size is checked: items are packed into blocks of at most ``BLOCK_BYTES`` of patterns.
-A benchmark of one block (the usual case) is scanned in one pass by one automaton; each further block adds a pass by its own
-automaton over the same rows, which merges its hits into those found so far, so memory stays bounded and no item is dropped.
+The benchmark's size is checked before it is collected, and its patterns' before they are broadcast; a Python worker builds the
+automaton once and keeps it for its next tasks. A benchmark of more than ``NODES`` nodes (about 400,000 windows) is scanned in several
+passes, each by the automaton of one part, written in between, so a worker holds one automaton at a time and no item is dropped.
 
 Defined results: null text or item has no words; an item without words never matches; of repeated item ids all windows count
 for the one id; items with null id count as one item, which isn't listed; items with equal windows are all reported; repeated rows give repeated results; an empty documents table
@@ -16,6 +17,7 @@ gives an empty result, an empty benchmark gives no hits; extra columns are kept
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewise.llm.common import WORD_BYTE, bounded, id_text, slices, word_spans
+from tomewise.llm.common import WORD_BYTE, bounded, id_text, materialize, slices, word_spans
 
 WINDOW = 10
-#: Bytes of patterns in one automaton.
-BLOCK_BYTES = 16 << 20
+#: Nodes of an automaton at most (about 60 bytes each), and bytes of a benchmark that may be collected.
+NODES, BENCHMARK_BYTES = 4_000_000, 256 << 20
 _TO_WORDS = bytes(int(b) or 32 for b in WORD_BYTE)
 
 
@@ -37,50 +39,70 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
-def _key(words: list[bytes]) -> str:
-    """Words as one string with a space at either end, each byte a character."""
-    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+Part = list[tuple[str | None, bytes]]
 
 
-def windows(items: list[tuple[str | None, str]], size: int = WINDOW) -> Iterator[dict[str, list[str | None]]]:
-    """Patterns with the ids of their items (None for items without id), in blocks of bounded size."""
-    block: dict[str, list[str | None]] = {}
-    held = 0
+def parts(items: list[tuple[str | None, str]], size: int = WINDOW, nodes: int | None = None) -> Iterator[Part]:
+    """Items (None for those without id) with their words joined by spaces, in parts whose patterns have ``nodes`` words at most.
+
+    An item of more patterns than that is cut into pieces that overlap by ``size - 1`` words."""
+    nodes = nodes or NODES
+    part, held, step = [], 0, max(1, nodes // size)
     for item, text in sorted(items, key=lambda x: (x[0] is not None, x)):
         words = words_of(text.encode())
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            key = _key(words[k : k + size])
-            held += (0 if key in block else len(key)) + len(item or "")
-            owners = block.setdefault(key, [])
-            if not owners or owners[-1] != item:
-                owners.append(item)
-            if held > BLOCK_BYTES:
-                yield block
-                block, held = {}, 0
-    if block:
-        yield block
+        for k in range(0, max(1, len(words) - size + 1) if words else 0, step):
+            piece = words[k : k + step + size - 1]
+            cost = max(1, len(piece) - size + 1) * min(size, len(piece))
+            if part and held + cost > nodes:
+                yield part
+                part, held = [], 0
+            part.append((item, b" ".join(piece)))
+            held += cost
+    if part:
+        yield part
 
 
 class Scanner:
-    """The automaton of one block of patterns."""
-
-    def __init__(self, patterns: dict[str, list[str | None]]):
-        self.automaton = ahocorasick.Automaton()
-        for key, items in patterns.items():
-            self.automaton.add_word(key, (len(key), key.count(" ") - 1, items))
-        self.automaton.make_automaton()
+    """The automaton of one part of a benchmark."""
+
+    def __init__(self, part: Part, size: int = WINDOW):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.number: dict[bytes, int] = {}
+        self.sizes: list[int] = []
+        self.owners: list[list[str | None]] = []
+        for item, joined in part:
+            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in joined.split(b" "))
+            n = min(size, len(words))
+            for k in range(len(words) - n + 1):
+                key = words[k : k + n]
+                at = self.automaton.get(key, -1)
+                if at < 0:
+                    self.automaton.add_word(key, len(self.sizes))
+                    self.sizes.append(n)
+                    self.owners.append([item])
+                elif self.owners[at][-1] != item:
+                    self.owners[at].append(item)
+        if part:
+            self.automaton.make_automaton()
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Runs of words (first, one past the last) inside matches, and the items that match."""
-        text, found, items = _key(words), [], set()
-        for end, (size, n, owners) in self.automaton.iter(text):
-            found.append((end - size + 1, n))
-            items.update(owners)
-        if not found:
-            return [], items
-        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-        firsts = np.searchsorted(spaces, [f for f, _ in found])
-        return merged([(int(a), int(a) + n) for a, (_, n) in zip(firsts, found, strict=True)]), items
+        if not self.sizes or not words:
+            return [], set()
+        look, sizes = self.number.get, self.sizes
+        found = list(self.automaton.iter(tuple([look(w, 0) for w in words])))
+        return merged([(end + 1 - sizes[at], end + 1) for end, at in found]), {i for at in {at for _, at in found} for i in self.owners[at]}
+
+
+_HELD: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, part: Part, size: int) -> Scanner:
+    """The scanner of that name, built at its first use in this Python worker; the one before goes."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Scanner(part, size)
+    return _HELD[name]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,23 +127,26 @@ def char_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]
 
 
 def collect_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[tuple[str | None, str]]:
-    """The test set; only a test set of bounded size may be given."""
-    return [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).collect()]
+    """The test set; one of more than ``BENCHMARK_BYTES`` raises ``ValueError`` before anything is collected."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    size = rows.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
+    if size > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes can't be held by the driver (at most {BENCHMARK_BYTES}); scan against parts of it")
+    return [(r["item"], r["text"]) for r in rows.collect()]
 
 
 _FOUND = "n_words long, runs array<struct<first:int,last:int>>, items array<string>"
 
 
 def _scanned(rows: DataFrame, text_col: str, benchmark: DataFrame, window: int) -> DataFrame:
-    """``rows`` (whose text is never null) with n_words, runs and items, by one narrow pass for each block of patterns."""
+    """``rows`` (whose text is never null) with n_words, runs and items."""
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.schema.fields), *T._parse_datatype_string(_FOUND).fields])
     context = rows.sparkSession.sparkContext
-    blocks = list(windows(collect_items(benchmark), window)) or [{}]
-    for k, block in enumerate(blocks):
-        shared = context.broadcast(block)  # at most BLOCK_BYTES
+    for k, part in enumerate(list(parts(collect_items(benchmark), window)) or [[]]):
+        shared, name = context.broadcast(part), uuid.uuid4().hex  # at most NODES words
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(shared.value) if shared.value else None
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, later=k > 0) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(name, shared.value, window)
             for batch in batches:
                 for part in slices(batch, text_col):
                     own = part.select(part.schema.names[:-3]) if later else part
@@ -129,14 +154,14 @@ def _scanned(rows: DataFrame, text_col: str, benchmark: DataFrame, window: int)
                     n_words, all_runs, all_items = [], [], []
                     for text, (runs, items) in zip(part.column(text_col).cast(pa.binary()).to_pylist(), so_far, strict=True):
                         words = words_of(text)
-                        new, more = scanner.hits(words) if scanner and words else ([], set())
+                        new, more = scanner.hits(words)
                         n_words.append(len(words))
                         all_runs.append([{"first": a, "last": b} for a, b in merged([*((r["first"], r["last"]) for r in runs), *new])])
                         all_items.append(sorted({*items, *more}, key=lambda x: (x is not None, x or "")))
                     found = [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(all_items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*own.columns, *found], [*own.schema.names, "n_words", "runs", "items"])
 
-        rows = rows.mapInArrow(run, schema)
+        rows = (materialize(rows, "pass") if k else rows).mapInArrow(run, schema)
     return rows
 
 
