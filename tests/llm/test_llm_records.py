@@ -117,4 +117,14 @@ def test_long_first_records_leave_a_dictionary():
     assert int.from_bytes(made[0][4:8], "little") > 0 and list(warc.records_of(b"".join(made))) == records
     plain = zstandard.ZstdCompressor(level=warc.LEVEL)
     assert sum(map(len, made[2:])) < sum(len(plain.compress(r)) for r in records[1:])
-    assert [f[4:8] for _, f in warc.frames(iter(records[1:3]))][0] == bytes(4)  # too little to learn from
+
+
+def test_small_archives_have_a_dictionary():
+    for n in range(1, 9):
+        records = [warc.record(i, f"http://x/{i}", b"<p>same page, more or less</p>" * (i + 1), None, False, "2000-01-01T00:00:00Z") for i in range(n)]
+        made = [f for _, f in warc.frames(iter(records))]
+        assert int.from_bytes(made[0][4:8], "little") > 100 and list(warc.records_of(b"".join(made))) == records
+        alone = zstandard.ZstdDecompressor()
+        with pytest.raises(zstandard.ZstdError):  # no record can be read without the dictionary
+            for frame in made[1:]:
+                alone.decompress(frame)

@@ -1,13 +1,14 @@
 """WARC archives with dictionary-compressed records.
 
 Each archive starts with a skippable frame that holds a Zstandard dictionary, built from the first records of that archive
-(at most ``SAMPLE_BYTES`` of them, a bounded sample; from pieces of them where they are fewer than 8); every record is a frame of its own compressed with it. An archive ends at
-``ARCHIVE_BYTES`` of records, so neither writer nor reader holds more than one such archive. Frames are written by Spark's text
+(at most ``SAMPLE_BYTES`` of them, a bounded sample; from pieces of them where they are fewer than 8; where that is too little to train on,
+their bytes themselves are the dictionary); every record is a frame of its own compressed with it. An archive ends at ``ARCHIVE_BYTES`` of records, so neither writer nor reader holds more than one such archive. Frames are written by Spark's text
 writer, whose line separator is set to an empty skippable frame: archives go to whatever store the path names, by any executor,
 with Spark's commit protocol. They are read as binary files.
 
 Of records with equal payloads (of at least ``least`` bytes) that with the largest id is a response, the others are revisits of
-it. Winners are found by salted partial maxima per digest, so a payload that a third of all pages share is no hot group.
+it. Winners are found by partial maxima per digest, combined in each input split, and told to the rows by a salted join, so a payload
+that a third of all pages share is no hot group.
 
 Defined results: null html is an empty payload; rows that repeat the largest id of their payload are all responses; rows with
 null id never win over others (a group without any id is all responses, its ids read back as null); a null url becomes the record's
@@ -28,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import bounded, slices
+from tomewise.llm.common import bounded, join_salted, materialize, slices
 
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, SALTS = 64 << 20, 2 << 20, 32 << 10, 3, 32
+ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 64 << 20, 2 << 20, 32 << 10, 3
 #: Bytes of the pieces that fewer than 8 records are cut into to learn a dictionary.
 PIECE_BYTES = 4 << 10
 #: Magic numbers of Zstandard: a frame, the skippable frames, the one of these that holds a dictionary. Fixed values.
@@ -58,24 +59,28 @@ def record(page: int | None, url: str | None, payload: bytes, response: int | No
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on the records, or made of their first bytes where these are too few or too alike to train on."""
+    learn = records
     if len(records) < 8:  # few, maybe long, records: learn from pieces of them, evenly taken
         pieces = [r[k : k + PIECE_BYTES] for r in records for k in range(0, len(r), PIECE_BYTES)]
-        records = pieces[:: max(1, len(pieces) * PIECE_BYTES // SAMPLE_BYTES)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, records, k=256, d=8) if len(records) >= 8 else None
-    except zstandard.ZstdError:  # too little to learn from
-        return None
+        learn = pieces[:: max(1, len(pieces) * PIECE_BYTES // SAMPLE_BYTES)]
+    if len(learn) >= 8:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, learn, k=256, d=8)
+        except zstandard.ZstdError:
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(records)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def frames(records: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> Iterator[tuple[int, bytes]]:
-    """(archive number, frame) of records: per archive the dictionary first (none if there is too little to learn from)."""
+    """(archive number, frame) of records: per archive the dictionary first."""
     archive, held, size, compress = 0, [], 0, None
 
     def begin() -> Iterator[tuple[int, bytes]]:
         nonlocal compress
         learned = _dictionary(held)
-        data = learned.as_bytes() if learned else b""
+        data = learned.as_bytes()
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=learned, write_checksum=True, write_content_size=True).compress
         yield archive, struct.pack("<II", _DICTIONARY, len(data)) + data
         yield from ((archive, compress(r)) for r in held)
@@ -142,11 +147,9 @@ def parse_record(data: bytes) -> tuple[int | None, str, str, int, str, int | Non
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> None:
     """Write a record per row to archives under ``path``."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).select(
-        "*", F.unhex(F.sha2("payload", 256)).alias("digest"), F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), F.lit(SALTS)).alias("salt")
-    )
-    winners = rows.groupBy("digest", "salt").agg(F.max("page_id").alias("response")).groupBy("digest").agg(F.max("response").alias("response"), F.collect_set("salt").alias("salts"))
-    told = rows.join(winners.withColumn("salt", F.explode("salts")).drop("salts"), ["digest", "salt"]).select(
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    winners = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")), "winners")
+    told = join_salted(rows, winners, ["digest"], "n").select(
         "page_id", "url", "payload", "response", ((F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit")
     )
 
