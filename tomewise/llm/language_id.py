@@ -1,13 +1,16 @@
 """Language identification by prediction by partial matching.
 
-Each language has a tree of byte contexts of order 0 to 3. A symbol seen in the longest context that the tree has costs
+Each language has a tree of byte contexts of order 0 to 3. A byte seen in the longest context that the tree has costs
 -log2(count / (total + distinct)); otherwise an escape of probability distinct / (total + distinct) leads to the next
-shorter context, whose distribution is renormalised over the symbols not yet excluded, down to a uniform one. With frozen
-statistics all costs can be worked out once: ``cost[context, symbol, language]``. A text's code length per language is then
-two table lookups a byte; the shortest code wins.
+shorter context, whose distribution is renormalised over the bytes not yet excluded, down to a uniform one over all 256. With frozen
+statistics all costs can be worked out once. They are kept for what was seen only: hash tables hold the cost of each byte after
+each context that some language has, and the cost of the escape from each such context, for all languages side by side. A text's code
+length per language is a few look-ups a byte; the shortest code wins. No byte value and no context is left out or merged with others.
 
 Fitting takes at most ``PER_LANGUAGE`` documents of each language (those with the smallest hash of their id, a bounded
-sample), whole texts; their 4-grams are counted on the executors. Frequent bytes keep a symbol of their own, the rest share one.
+sample), whole texts; their 4-grams are counted on the executors. A model holds one number for each language and each string of up to four bytes
+that was seen; one of more than ``CELLS`` numbers raises ``ValueError`` (learn from fewer documents or bytes, or in groups of languages), since
+it is broadcast. Nothing is cut to fit.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; so does every text if there is
 nothing to learn from; of equal code lengths the first language by name wins; repeated rows give repeated results; an empty
@@ -24,21 +27,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import id_text, slices, utf8
+from tomewise.llm.common import id_text, mixed, slices, utf8
 
-#: Bounds of the model: documents learned from for each language, symbols, and cells of the cost table.
-PER_LANGUAGE, SYMBOLS, CELLS = 500, 112, 1 << 23
+#: Bounds of the model: documents learned from for each language, and numbers in its tables.
+PER_LANGUAGE, CELLS = 500, 1 << 26
 #: Bytes of text that count as full evidence in a score.
-EVIDENCE = 32
+EVIDENCE, ORDER = 32, 3
+
+
+class Table:
+    """A hash table from 32-bit codes to their places in the array that it was made of, looked up for whole arrays at once."""
+
+    def __init__(self, codes: np.ndarray):
+        self.mask = (1 << max(4, int(4 * len(codes)).bit_length())) - 1
+        self.code, self.place = np.zeros(self.mask + 1, np.uint32), np.full(self.mask + 1, -1, np.int32)
+        left, slot = np.arange(len(codes)), self._slots(codes)
+        while len(left):
+            free = self.place[slot] < 0
+            _, one = np.unique(slot[free], return_index=True)
+            chosen = np.flatnonzero(free)[one]
+            self.code[slot[chosen]], self.place[slot[chosen]] = codes[left[chosen]], left[chosen]
+            rest = np.ones(len(left), bool)
+            rest[chosen] = False
+            left, slot = left[rest], slot[rest] + 1 & self.mask
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return (mixed(codes.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Places of codes, -1 for those that aren't there."""
+        out, slot = np.full(len(codes), -1, np.int32), self._slots(codes)
+        left = np.arange(len(codes))
+        while len(left):
+            place = self.place[slot]
+            hit = (place >= 0) & (self.code[slot] == codes[left])
+            out[left[hit]] = place[hit]
+            on = ~hit & (place >= 0)
+            left, slot = left[on], slot[on] + 1 & self.mask
+        return out
 
 
 @dataclass
 class ContextTrees:
+    """``zero``: bits [byte, language] without context. For each order from 1: strings of a context and a byte with their bits, and contexts with the bits of their escapes."""
+
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol, 0 for rare bytes
-    size: int
-    context: np.ndarray  # three symbols -> row of cost
-    cost: np.ndarray  # [context, symbol, language], bits
+    zero: np.ndarray
+    strings: list[Table]
+    bits: list[np.ndarray]
+    contexts: list[Table]
+    escapes: list[np.ndarray]
 
 
 def held_out(id_col: str = "doc_id"):
@@ -91,74 +129,80 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return trees(sorted({lang for _, lang in ids}), counts.column("lang").to_pylist(), counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
-def trees(languages: list[str], lang: list[str], grams: np.ndarray, n: np.ndarray) -> ContextTrees | None:
+def trees(languages: list[str], lang: list[str], grams: np.ndarray, n: np.ndarray, cells: int | None = None) -> ContextTrees | None:
     """Cost tables from counts of 4-grams (three bytes of context, then the byte itself)."""
     if not len(grams):
         return None
-    number, grams = {x: i for i, x in enumerate(languages)}, grams.astype(np.int64)
-    of, count, a = np.array([number[x] for x in lang]), len(languages), SYMBOLS
-    seen = np.bincount(grams & 255, weights=n, minlength=256)
-    symbol = np.zeros(256, np.int64)
-    common = [b for b in np.argsort(-seen, kind="stable")[: a - 1] if seen[b] and b]
-    symbol[common] = 1 + np.arange(len(common))
-    s = [symbol[grams >> shift & 255] for shift in (24, 16, 8, 0)]
-
-    def table(codes: np.ndarray, contexts: int) -> np.ndarray:
-        return np.bincount((codes * a + s[3]) * count + of, weights=n, minlength=contexts * a * count).reshape(contexts, a, count)
-
-    def deeper(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities in contexts with these counts; ``shorter``: those of the next shorter contexts."""
-        total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        rest = np.where(seen > 0, 0, shorter)
-        mass = rest.sum(1, keepdims=True)
-        escape = np.where(mass > 0, distinct / np.maximum(total + distinct, 1), 0)
-        known = seen / np.maximum(total, 1) * (1 - escape)
-        return np.where(total > 0, np.where(seen > 0, known, escape * rest / np.maximum(mass, 1e-300)), shorter)
-
-    zero = deeper(table(np.zeros_like(of), 1), np.full((1, a, count), 1 / a))
-    one = deeper(table(s[2], a), zero)
-    rows = max(a + 1, CELLS // (a * count))  # contexts that fit
-    pair, triple = s[1] * a + s[2], (s[0] * a + s[1]) * a + s[2]
-
-    def frequent(codes: np.ndarray, room: int) -> np.ndarray:
-        keys, at = np.unique(codes, return_inverse=True)
-        weight = np.bincount(at, weights=n)
-        return np.sort(keys[np.argsort(-weight, kind="stable")[: max(0, room)]][: max(0, room)]) if room > 0 else keys[:0]
-
-    twos = frequent(pair, (rows - a) // 4)
-    threes = frequent(triple, rows - a - len(twos))
-
-    def kept(codes: np.ndarray, keys: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(keys, codes)
-        has = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == codes) if len(keys) else np.zeros(len(codes), bool)
-        full = np.bincount((at[has] * a + s[3][has]) * count + of[has], weights=n[has], minlength=len(keys) * a * count).reshape(len(keys), a, count)
-        return deeper(full, shorter)
-
-    two = kept(pair, twos, one[twos % a])
-    to_pair = np.full(a * a, -1)
-    to_pair[twos] = a + np.arange(len(twos))
-    to_pair = np.where(to_pair < 0, np.arange(a * a) % a, to_pair)  # else the order-1 context
-    upper = np.concatenate([one, two])
-    three = kept(triple, threes, upper[to_pair[threes % (a * a)]])
-    context = np.tile(to_pair, a)
-    context[threes] = len(upper) + np.arange(len(threes))
-    return ContextTrees(languages, symbol.astype(np.uint8), a, context.astype(np.int32), -np.log2(np.concatenate([upper, three])).astype(np.float32))
+    number, count = {x: i for i, x in enumerate(languages)}, len(languages)
+    of, grams = np.array([number[x] for x in lang]), grams.astype(np.int64)
+    strings = [np.unique(grams & (1 << 8 * (k + 1)) - 1) for k in range(1, ORDER + 1)]
+    if (size := 2 * sum(map(len, strings)) * count) > (cells or CELLS):
+        raise ValueError(f"{size} numbers are too many for one model of {count} languages; learn from less, or in groups of languages")
+
+    def counts(codes: np.ndarray, rows: int) -> np.ndarray:
+        return np.bincount(codes * count + of, weights=n, minlength=rows * count).reshape(rows, count)
+
+    def step(seen: np.ndarray, context: np.ndarray, rows: int, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of strings, given their counts, the number of their context, and those of the strings without their first byte; factors of escapes."""
+        total, distinct, mass = (np.zeros((rows, count)) for _ in range(3))
+        np.add.at(total, context, seen)
+        np.add.at(distinct, context, seen > 0)
+        np.add.at(mass, context, np.where(seen > 0, shorter, 0))
+        rest = np.maximum(1 - mass, 0)
+        all_seen = rest < 1e-12  # nothing to escape to
+        escape = np.where(all_seen, 0, distinct / np.maximum(total + distinct, 1))
+        factor = np.where(total > 0, escape / np.maximum(rest, 1e-12), 1.0)
+        known = seen / np.maximum(total, 1)[context] * (1 - escape)[context]
+        return np.where(seen > 0, known, factor[context] * shorter), factor
+
+    zero, _ = step(counts(grams & 255, 256), np.zeros(256, np.int64), 1, np.full((256, count), 1 / 256))
+    bits = lambda p: -np.log2(np.maximum(p, 1e-30)).astype(np.float32)
+    tables, costs, contexts, escapes, shorter, known = [], [], [], [], zero, np.arange(256)
+    for k, keys in enumerate(strings, 1):
+        befores, context = np.unique(keys >> 8, return_inverse=True)
+        tail = shorter[np.searchsorted(known, keys & (1 << 8 * k) - 1)]
+        shorter, factor = step(counts(np.searchsorted(keys, grams & (1 << 8 * (k + 1)) - 1), len(keys)), context, len(befores), tail)
+        known = keys
+        tables.append(Table(keys.astype(np.uint32)))
+        costs.append(bits(shorter))
+        contexts.append(Table(befores.astype(np.uint32)))
+        escapes.append(bits(factor))
+    return ContextTrees(languages, bits(zero), tables, costs, contexts, escapes)
+
+
+def _bits(model: ContextTrees, grams: np.ndarray) -> np.ndarray:
+    """Bits [place, language] of the last byte of each 4-gram after the others."""
+    out = np.zeros((len(grams), len(model.languages)), np.float32)
+    left = np.arange(len(grams))
+    for k in range(ORDER, 0, -1):
+        own = grams[left] if k == ORDER else grams[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+        place = model.strings[k - 1].find(own)
+        hit = place >= 0
+        if k == ORDER:
+            out[hit] = model.bits[k - 1][place[hit]]
+        else:
+            out[left[hit]] += model.bits[k - 1][place[hit]]
+        left, own = left[~hit], own[~hit]
+        context = model.contexts[k - 1].find(own >> np.uint32(8))
+        there = context >= 0
+        out[left[there]] += model.escapes[k - 1][context[there]]
+    out[left] += model.zero[grams[left] & np.uint32(255)]
+    return out
 
 
 def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language, [text, language]."""
     langs = len(model.languages)
     out = np.zeros((len(offsets) - 1, langs))
-    cost, a = model.cost.reshape(-1, langs), model.size
-    step = max(1 << 16, (1 << 23) // langs)
+    step = max(1 << 14, (1 << 21) // langs)
     starts = _starts(offsets)
     for low in range(0, len(data), step):
-        high, lead = min(len(data), low + step), min(low, 3)
-        s = model.symbol[data[low - lead : high]].astype(np.int32)
-        near = starts[(starts > low - lead - 3) & (starts < high)] - (low - lead)
+        high, lead = min(len(data), low + step), min(low, ORDER)
+        s = data[low - lead : high].astype(np.uint32)
+        near = starts[(starts > low - lead - ORDER) & (starts < high)] - (low - lead)
         near = near[near >= 0]
-        code = (_shifted(s, near, 3) * a + _shifted(s, near, 2)) * a + _shifted(s, near, 1)
-        bits = cost[model.context[code[lead:]].astype(np.int64) * a + s[lead:]]
+        grams = (_shifted(s, near, 3) << 24 | _shifted(s, near, 2) << 16 | _shifted(s, near, 1) << 8 | s)[lead:]
+        bits = _bits(model, grams)
         first, last = np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high, side="left")
         edges = np.clip(offsets[first:last], low, high) - low
         full = np.flatnonzero(np.diff(np.append(edges, high - low)) > 0)
@@ -177,7 +221,7 @@ def _letters(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> np.
 
 def predict(df: DataFrame, model: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most CELLS floats and a byte table
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
