@@ -4,7 +4,7 @@ Cyclic boosting visits one feature after another (later one pair after another),
 leaves to the current residuals of the logistic loss and adding a fraction of it to that feature's lookup table. Scoring
 bins the features and adds table entries: one per feature and one per pair.
 
-Features are counts over the whole text's bytes. Fitting takes at most ``FIT_ROWS`` labelled rows (those with the smallest
+Features are counts over the whole text: shares of byte classes, of repeated words, word pairs and lines, and the length of sentences. Fitting takes at most ``FIT_ROWS`` labelled rows (those with the smallest
 hash of their id), collected as feature vectors, never as text.
 
 Defined results: null text counts as empty; an empty text has all-zero features and a score like any other; rows without a
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewise.llm.common import bounded, fresh, id_text, slices, utf8, word_hashes, word_spans
+from tomewise.llm.common import bounded, fresh, id_text, mixed, slices, utf8, word_hashes, word_spans
 
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 20_000
 BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 32, 6, 120, 60, 0.15
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 #: Byte classes; every byte is in one. What isn't listed is "other".
 CLASSES = ["upper", "lower", "digit", "space", "newline", "stop", "bang", "bar", "symbol", "high", "other"]
 _CLASS = np.full(256, CLASSES.index("other"), np.int64)
@@ -39,7 +41,17 @@ for _name, _bytes in {
     "bang": b"!", "bar": b"|", "symbol": b"#$%&*+/<=>@[\\]^_`{}~", "high": range(128, 256),
 }.items():
     _CLASS[list(_bytes)] = CLASSES.index(_name)
-FEATURES = ["log_bytes", "upper_share", "digits", "spaces", "newlines", "stops", "bangs", "bars", "symbols", "high_bytes", "word_bytes", "distinct_shares", "echoes"]
+FEATURES = ["log_bytes", "upper_share", "digits", "spaces", "newlines", "stops", "bangs", "bars", "symbols", "high_bytes", "word_bytes", "distinct_shares", "echoes", "distinct_words", "distinct_pairs", "repeated_lines", "sentence_words"]
+
+
+def _distinct(of: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """Share of different codes among those of each text; 1 for a text without any."""
+    order = np.lexsort((codes, of))
+    of, codes = of[order], codes[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])
+    count = np.bincount(of, minlength=n)
+    return np.where(count > 0, np.bincount(of[new], minlength=n) / np.maximum(count, 1), 1.0)
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -55,11 +67,19 @@ def features(column: pa.Array) -> np.ndarray:
     words = np.bincount(of_word, minlength=n)
     # Words that repeat the one before.
     echoes = np.bincount(of_word[1:][(hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])], minlength=n) if len(starts) else np.zeros(n)
+    follows = of_word[1:] == of_word[:-1]
+    pairs = mixed(hashes[:-1] * _ODD + hashes[1:])[follows] if len(starts) else hashes
+    # Lines by the words that they have, in order; those without a word aren't counted.
+    line = np.searchsorted(np.flatnonzero(kind == CLASSES.index("newline")), starts)
+    first = np.flatnonzero(np.diff(line, prepend=-1) | np.diff(of_word, prepend=-1))
+    place = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts)))) + 1
+    lines = np.add.reduceat(mixed(hashes + place.astype(np.uint64) * _ODD), first) if len(first) else hashes
+    ends_of = np.bincount(row[(data == 46) | (data == 33) | (data == 63)], minlength=n)  # . ! ?
     size, share = np.maximum(sizes, 1), count / np.maximum(sizes, 1)[:, None]
     return np.stack(
         [np.log1p(sizes), of["upper"] / np.maximum(of["upper"] + of["lower"], 1), of["digit"] / size, of["space"] / size, of["newline"] / size, of["stop"] / size,
          of["bang"] / size, of["bar"] / size, of["symbol"] / size, of["high"] / size, (of["upper"] + of["lower"] + of["digit"] + of["high"]) / np.maximum(words, 1), (share**2).sum(1),
-         echoes / np.maximum(words, 1)], 1,
+         echoes / np.maximum(words, 1), _distinct(of_word, hashes, n), _distinct(of_word[1:][follows], pairs, n), 1 - _distinct(of_word[first], lines, n), words / (ends_of + 1)], 1,
     )
 
 
