@@ -4,7 +4,8 @@ Of each ``WINDOW`` neighbouring places of a text the one with the smallest gear
 ones, never inside a character) is an anchor, and the ``UNIT`` bytes from an anchor are a unit. Anchors depend on nearby content
 alone and no stretch is without one, periodic text included, so texts that share ``UNIT + WINDOW - 1`` = 101 bytes, the least that
 51 words take, share a unit whole. Units are compared by a 64-bit digest; a digest in several documents is a repeat, and stays in
-the document with the smallest id. Overlapping units join into passages.
+the document with the smallest id. Two different units with one digest are no passage by themselves: a unit alone is short, and its
+windows, hashed anew, would have to agree as well. Overlapping units join into passages.
 
 A joined passage of under ``2 * least`` bytes is then held against the text: all windows of ``least`` bytes, from ``WINDOW``
 bytes before its units on, that begin with a word are compared likewise, and those that other documents have take its place. So a
@@ -12,7 +13,7 @@ short passage counts if, and as far as, ``least`` bytes in one piece repeat from
 short at either end; each of its bytes lies in a unit that repeats in one piece.
 
 Only fixed-size rows (digest, id, place) travel, and the texts of documents once, to meet their short passages. Digests are combined
-before the shuffle (minimum and maximum id), and the join that marks the units of repeats may be split by skew.
+before the shuffle (minimum and maximum id), and the join that marks the units of repeats salts frequent ones.
 
 Defined results: null text counts as empty and has no units; repeats inside one document only are none; rows that repeat an id
 count once; rows with null id are ignored (``remove_repeats`` keeps them as they are); of equal whole texts the one with the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewise.llm.common import WORD_BYTE, fresh, id_text, materialize, mixed, slices, utf8
+from tomewise.llm.common import WORD_BYTE, fresh, id_text, join_salted, materialize, mixed, slices, utf8
 
 #: Mean and largest chunk, and the shortest passage that counts, in bytes.
 MEAN, LONGEST, LEAST = 28, 2048, 90
@@ -189,9 +190,8 @@ def _window_rows(df: DataFrame, passages: DataFrame, size: int, id_col: str, tex
 
 def _repeated(rows: DataFrame, kind: str) -> DataFrame:
     """doc_id, start, stop and keep_id of the rows whose digest other documents have too."""
-    repeats = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id")).where("keep_id < last_id").select("digest", "keep_id")
-    # Written first, so that the join reads both sides from plain shuffles and Spark may split a frequent digest.
-    return rows.join(materialize(repeats, kind), "digest").select("doc_id", "start", "stop", "digest", "keep_id")
+    repeats = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).where("keep_id < last_id")
+    return join_salted(rows, materialize(repeats.select("digest", "keep_id", "n"), kind), ["digest"], "n").select("doc_id", "start", "stop", "digest", "keep_id")
 
 
 def _runs(found: DataFrame, *also: str) -> DataFrame:
