@@ -33,6 +33,21 @@ def title_key(values: pd.Series) -> pd.Series:
     return _each(values, titles.title_key)
 
 
+@column_function("string")
+def bare_key(values: pd.Series) -> pd.Series:
+    return _each(values, titles.bare)
+
+
+@column_function("string")
+def search_words(values: pd.Series) -> pd.Series:
+    return _each(values, titles.search_words)
+
+
+@column_function("string")
+def search_creator(values: pd.Series) -> pd.Series:
+    return _each(values, titles.search_creator)
+
+
 @column_function("string")
 def volume_of(values: pd.Series) -> pd.Series:
     return _each(values, titles.volume_of)

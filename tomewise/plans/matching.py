@@ -28,12 +28,11 @@ def judged(title: pd.Series, series: pd.Series, xml: pd.Series) -> pd.DataFrame:
     rows = []
     for t, s, x in zip(title, series, xml, strict=True):
         r, book = parse_record(x), titles.read_title(t or "", s)
-        names, editions = titles.series_names(r["series"]), titles.record_editions(r["edition"], r["title"])
-        paper = titles.is_paper(r["id"], r["categories"])
+        candidate, paper = titles.candidate_of(r), titles.is_paper(r["id"], r["categories"])
+        first, second = titles.answers(t or "", s, candidate) if paper else (False, False)
         rows.append({
-            "id": r["id"], "paper": paper, "first": paper and titles.first_reading(t or "", s, r), "second": paper and titles.second_reading(t or "", s, r),
-            "labels_fit": [titles.label_fits(label, names) for label in book.labels], "editions_fit": [titles.same_edition(e, editions) for e in book.editions],
-            "has_edition": bool(editions), "special": titles.is_special_edition(r["edition"], r["title"]), **{c: r[c] for c in _CARRIED},
+            "id": r["id"], "paper": paper, "first": first, "second": second, "has_edition": bool(candidate.editions), "special": candidate.special, **{c: r[c] for c in _CARRIED},
+            "labels_fit": [titles.label_fits(label, candidate.series_names) for label in book.labels], "editions_fit": [titles.same_edition(e, candidate.editions) for e in book.editions],
         })
     return pd.DataFrame(rows, columns=["id", "paper", "first", "second", "labels_fit", "editions_fit", "has_edition", "special", *_CARRIED], dtype=object)
 
