@@ -1,12 +1,15 @@
 """Matching, the enrichment state machine, corrections, rematching and review, with a fake search service."""
 
+import http.client
 import urllib.error
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from library_data import item, response, write_json
+from tomewise.functions import titles
 from tomewise.plans import enrichment, matching, review
 from tomewise.plans.views import reader
 from tomewise.sources import library_json, overrides, records, search_api
@@ -134,6 +137,109 @@ def test_errors_stop_a_run_and_it_resumes(spark, store):
     assert enrichment.enrich(spark, store, Fake(answers()), lambda: NOW).targets == 4
 
 
+def broken_item():
+    return "<item><link>x/R100000002-I5</link><category>図書</category"
+
+
+def test_one_unreadable_record_is_one_book_s_error(spark, store):
+    fake = Fake(answers() | {params(title="本の題", creator="著者"): (1, [broken_item()])})
+    s = enrichment.enrich(spark, store, fake, lambda: NOW)
+    assert s.aborted is None and state(spark, store) == {"0": "error", "1": "not_found", "2": "not_found", "3": "incomplete"}
+    assert "unreadable record" in store.read(spark, "bib_fetches").where("status = 'error'").first()["error"]
+
+
+def test_results_are_kept_however_a_run_ends(spark, store):
+    class Bug(Exception):
+        pass
+
+    with pytest.raises(Bug):
+        enrichment.enrich(spark, store, Fake(answers() | {params(title="広い題"): Bug()}), lambda: NOW)
+    assert state(spark, store) == {"0": "found", "1": "not_found", "2": "not_found"}
+    s = enrichment.enrich(spark, store, Fake(answers() | {params(title="広い題"): KeyboardInterrupt()}), lambda: NOW)
+    assert s.aborted == "interrupt" and s.targets == 1
+
+
+def test_failures_in_a_row_end_a_run():
+    class Down:
+        def search(self, _):
+            raise SearchError("down")
+
+    rows = [Row(asin=str(k), title="砂の城", authors_text="岸辺", series_title=None, isbn=None) for k in range(9)]
+    summary = enrichment.RunSummary()
+    assert len(list(enrichment.fetched(Down(), iter(rows), summary))) == enrichment.FAILURES and summary.aborted == "network"
+
+
+def test_a_locked_store_is_tried_again_after_as_many_books():
+    tries, locked = [], [True]
+
+    def write(batch, taken):
+        tries.append(len(batch))
+        if locked[0]:
+            raise enrichment.StoreLocked("held")
+
+    committer = enrichment.Committer(write, lambda _: None)
+    for k in range(50):
+        committer.add(enrichment.Fetched(str(k), "found", "title"))
+    assert set(tries) == {20, 40} and len(committer.batch) == 50
+    locked[0] = False
+    committer.flush(0)
+    assert tries[-1] == 50 and not committer.batch and committer.taken == 50
+
+
+def test_verdicts_are_a_function_of_the_answers():
+    plan = titles.search_stages("砂の城 3巻", "岸辺", "砂")
+    first, second, third = (enrichment.asked(s.params) for s in plan)
+    narrow = [enrichment.asked(p) for p in plan[0].refinements]
+    verdict = lambda known, hits=(): enrichment.verdict(plan, known, lambda k: k in hits)
+    assert verdict({}).params == plan[0].params and verdict({first: (501, [])}).params == plan[0].refinements[0]
+    assert verdict({first: (501, []), narrow[0]: (3, [])}, {narrow[0]}) == ("found", narrow[0])
+    known = {first: (501, []), narrow[0]: (502, []), second: (9, []), third: (0, [])}
+    assert verdict(known) == ("incomplete", None) and verdict(known, {third}) == ("found", third) and verdict(known, {third, second}) == ("found", second)
+    assert verdict({first: (1, []), second: (2, []), third: (0, [])}) == ("not_found", None) == enrichment.verdict([], {}, bool)
+    assert [x["total"] for x in enrichment.steps_taken(plan, known, None)] == [501, 502, 9, 0] and [x["total"] for x in enrichment.steps_taken(plan, known, second)] == [501, 502, 9]
+
+
+def written(store, name):
+    return sum(f.stat().st_size for f in (store.root / name).rglob("*.parquet"))
+
+
+def test_commits_write_their_own_rows_only(spark, store, monkeypatch):
+    many = spark.range(200_000).selectExpr("cast(id as string) as asin", "'found' as status", "'title' as source", "repeat(md5(cast(id as string)), 2) as stages", "null as error", "timestamp_ntz'2020-01-01 00:00:00' as fetched_at")
+    store.commit({"bib_fetches": many})
+    before = written(store, "bib_fetches")
+    monkeypatch.setattr(enrichment, "FLUSH", 2)
+    sizes = []
+    monkeypatch.setattr(Store, "compact", lambda self, spark: sizes.append((self.deltas(), written(self, "bib_fetches"))))
+    enrichment.enrich(spark, store, Fake(answers()), lambda: NOW)
+    assert sizes[0][0] == 2 and sizes[0][1] - before < 20_000
+    assert {r["asin"]: r["status"] for r in store.read(spark, "bib_fetches").where("length(asin) = 10").collect()} == {"B000000000": "found", "B000000001": "not_found", "B000000002": "not_found", "B000000003": "incomplete"}
+    monkeypatch.undo()
+    store.compact(spark)
+    assert store.deltas() == 0 and store.read(spark, "bib_fetches").count() == 200_004
+
+
+def test_a_store_of_another_schema_is_rewritten(spark, store):
+    import json
+
+    path = store.root / "manifest.json"
+    manifest = json.loads(path.read_text())
+    folder = store.root / manifest["tables"]["books"]
+    spark.read.parquet(f"file://{folder}").drop("product_image_url").withColumn("gone", F.lit(1)).write.parquet(f"file://{folder}-old")
+    manifest["tables"]["books"] += "-old"
+    path.write_text(json.dumps(manifest | {"schema_hash": "another"}))
+    assert store.upgrade(spark) and not store.upgrade(spark)
+    assert store.read(spark, "books").where("product_image_url is null").count() == 4 and store.manifest()["schema_hash"] != "another"
+
+
+def test_broken_connections_are_search_errors():
+    for failure in (http.client.IncompleteRead(b""), http.client.RemoteDisconnected("x"), UnicodeDecodeError("utf-8", b"", 0, 1, "x"), TimeoutError()):
+        def fetch(_, failure=failure):
+            raise failure
+
+        with pytest.raises(SearchError):
+            search_api.Client(fetch, lambda: 0.0, lambda _: None).search({"title": "q"})
+
+
 def test_flushes_wait_for_the_store(spark, store):
     slept = []
     with store.lock(), pytest.raises(enrichment.StoreLocked):
@@ -176,7 +282,8 @@ def test_overrides(spark, store, tmp_path):
         review.merged_overrides(read, given, [{"asin": "B000000001", "action": "isbn", "isbn": "1"}, {"asin": "B999999999", "action": "exclude"}])
     overrides.write_overrides(path, changed)
     assert overrides.read_overrides(spark, path) == changed
-    for text, message in (("", "is empty"), ("a,b\n", "header must be"), ("asin,isbn\nA,1,2\n,5\nA,\nA,\nB,123\n", "line 2: expected 2 columns, got 3; line 3: empty ASIN; line 5: duplicate ASIN A; line 6: invalid ISBN 123 for B")):
+    wrong = r"line 2 \(A\): it has other than two columns; line 3 \(no id\): the id is missing, the ISBN's form.* is wrong; line 5 \(A\): the id was given before; line 6 \(B\): the ISBN's form"
+    for text, message in (("", "must name the columns"), ("a,b\n", "must name the columns asin and isbn, not a, b"), ("asin,isbn\nA,1,2\n,5\nA,\nA,\nB,123\n", wrong)):
         path.write_text(text, encoding="utf-8")
         with pytest.raises(ValueError, match=message):
             overrides.read_overrides(spark, path)
@@ -223,6 +330,9 @@ def test_client_paces_and_retries():
     replies = [urllib.error.HTTPError("x", 500, "no", {}, None)]
     with pytest.raises(SearchError):
         client.search({"title": "q"})
+    replies = [busy(), busy(), busy(), busy("601")]
+    with pytest.raises(RetryLater):
+        client.search({"title": "q"})
     replies = [busy()] * 4
     with pytest.raises(SearchError):
         client.search({"title": "q"})

@@ -25,44 +25,46 @@ RECORD = (
     "id string, categories array<string>, title string, volume string, series array<string>, edition string, publishers array<string>, issued string, extent string, "
     "isbns array<string>, subjects array<string>, ndcs array<struct<edition:string,code:string>>, descriptions array<string>"
 )
-_LISTS = {"categories": "category", "series": "dcndl:seriesTitle", "publishers": "dc:publisher", "descriptions": "dc:description"}
-_FIRSTS = {"volume": "dcndl:volume", "edition": "dcndl:edition", "issued": "dcterms:issued", "extent": "dc:extent"}
 _TYPE = f"{{{NAMESPACES['xsi']}}}type"
 _OPEN = "<rss " + " ".join(f'xmlns:{p}="{u}"' for p, u in NAMESPACES.items()) + ">"
+#: For each field of ``RECORD`` but id, title and ndcs: the element that it is read from, the type that element must say (``None``: none, ``...``: any), and whether all are kept.
+_FIELDS: dict[str, tuple[str, object, bool]] = {
+    "categories": ("category", ..., True), "volume": ("dcndl:volume", ..., False), "series": ("dcndl:seriesTitle", ..., True), "edition": ("dcndl:edition", ..., False),
+    "publishers": ("dc:publisher", ..., True), "issued": ("dcterms:issued", ..., False), "extent": ("dc:extent", ..., False), "isbns": ("dc:identifier", "dcndl:ISBN", True),
+    "subjects": ("dc:subject", None, True), "descriptions": ("dc:description", ..., True),
+}
 
 
 class RecordError(ValueError):
     """A response or record that can't be read."""
 
 
+def _qualified(tag: str) -> str:
+    prefix, colon, name = tag.partition(":")
+    return f"{{{NAMESPACES[prefix]}}}{name}" if colon else tag
+
+
 def parse_record(xml: str) -> dict:
     """One ``<item>`` as a dict of the fields of ``RECORD``."""
     try:
         item = ElementTree.fromstring(f"{_OPEN}{xml}</rss>").find("item")
     except ElementTree.ParseError as e:
         raise RecordError(f"unreadable record: {e}") from e
-    if item is None:
-        raise RecordError("the record has no <item>")
+    said: dict[str, list[tuple[str | None, str]]] = {}
+    for e in item if item is not None else ():
+        if text := (e.text or "").strip():
+            said.setdefault(e.tag, []).append((e.get(_TYPE), text))
 
-    def values(tag: str) -> list[tuple[str | None, str]]:
-        found = ((e.get(_TYPE), (e.text or "").strip()) for e in item.findall(tag, NAMESPACES))
-        return [(kind, text) for kind, text in found if text]
+    def texts(tag: str, kind: object = ...) -> list[str]:
+        return [text for k, text in said.get(_qualified(tag), ()) if kind is ... or k == kind]
 
-    first = lambda tag: next((text for _, text in values(tag)), None)
-    number = (first("link") or "").rstrip("/").rpartition("/")[2]
+    number = next(iter(texts("link")), "").rstrip("/").rpartition("/")[2]
     if not number:
-        raise RecordError("the record has no <link>")
-    typed = values("dc:subject")
-    classes = [(re.match(CLASS_TYPE, kind), text) for kind, text in typed if kind is not None]
-    return {
-        "id": number,
-        "title": first("dc:title") or first("title") or "",
-        "isbns": [text for kind, text in values("dc:identifier") if kind == "dcndl:ISBN"],
-        "subjects": [text for kind, text in typed if kind is None],
-        "ndcs": [{"edition": m[1], "code": text} for m, text in classes if m],
-        **{name: [text for _, text in values(tag)] for name, tag in _LISTS.items()},
-        **{name: first(tag) for name, tag in _FIRSTS.items()},
-    }
+        raise RecordError("the record has no <item> with a <link>")
+    out: dict = {"id": number, "title": next(iter([*texts("dc:title"), *texts("title")]), "")}
+    out |= {name: found if many else next(iter(found), None) for name, (tag, kind, many) in _FIELDS.items() for found in [texts(tag, kind)]}
+    classes = ((re.match(CLASS_TYPE, kind or ""), text) for kind, text in said.get(_qualified("dc:subject"), ()))
+    return out | {"ndcs": [{"edition": m[1], "code": text} for m, text in classes if m]}
 
 
 def parse_response(text: str) -> tuple[int, list[str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import time
 import urllib.error
 import urllib.parse
@@ -42,6 +43,12 @@ class Client:
         with urllib.request.urlopen(urllib.request.Request(address, headers={"User-Agent": "tomewise"}), timeout=60) as r:
             return r.read().decode("utf-8")
 
+    @staticmethod
+    def _pause(e: urllib.error.HTTPError, attempt: int) -> float:
+        """Seconds that a busy service asks for, or our own guess."""
+        asked = e.headers.get("Retry-After") if e.headers else None
+        return float(asked) if asked and asked.isdigit() else 60.0 * (attempt + 1)
+
     def search(self, params: dict[str, str]) -> tuple[int, list[str]]:
         """(number of results in all, items)."""
         address = f"{ADDRESS}?{urllib.parse.urlencode({**FIXED, **params})}"
@@ -52,13 +59,12 @@ class Client:
             try:
                 return parse_response(self._fetched(address))
             except urllib.error.HTTPError as e:
-                if e.code != 429 or attempt == RETRIES:
+                pause = self._pause(e, attempt) if e.code == 429 else None
+                if pause is not None and pause > PATIENCE:
+                    raise RetryLater(pause) from e
+                if pause is None or attempt == RETRIES:
                     raise SearchError(f"HTTP {e.code}") from e
-                asked = e.headers.get("Retry-After") if e.headers else None
-                wait = float(asked) if asked and asked.isdigit() else 60.0 * (attempt + 1)
-                if wait > PATIENCE:
-                    raise RetryLater(wait) from e
-                self.sleep(wait)
-            except (OSError, RecordError) as e:
-                raise SearchError(str(e)) from e
+                self.sleep(pause)
+            except (OSError, http.client.HTTPException, UnicodeDecodeError, RecordError) as e:
+                raise SearchError(f"{type(e).__name__}: {e}") from e
         raise AssertionError("unreachable")

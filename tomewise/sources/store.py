@@ -1,8 +1,10 @@
 """Snapshot store: Parquet directories per table version, and a manifest that is replaced as a whole.
 
 A commit writes new directories for the tables it changes and then flips the manifest with an atomic rename, so a reader sees all
-of a commit or none of it, and a failed commit leaves nothing but unreferenced directories. The root is a folder that driver and
-executors share; the manifest is read and written by the driver alone, under a file lock.
+of a commit or none of it, and a failed commit leaves nothing but unreferenced directories. A change is a whole table or a delta: rows, and
+keys whose older rows they replace. A delta writes its own rows only; reading resolves all deltas of a table in one join, and ``compact``
+turns them into a whole table again. The root is a folder that driver and executors share; the manifest is read and written by the
+driver alone, under a file lock.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
 from typing import Any
@@ -28,6 +31,14 @@ class StoreLocked(RuntimeError):
     """Another run holds the lock."""
 
 
+@dataclass(frozen=True)
+class Delta:
+    """Rows of a table, and the values of its first key column whose rows from before go."""
+
+    rows: DataFrame
+    keys: DataFrame
+
+
 class Store:
     def __init__(self, root: str | Path):
         if not str(root).strip():
@@ -61,22 +72,61 @@ class Store:
             row = {"schema_hash": manifest["schema_hash"]} if name == "schema_meta" else manifest["singles"].get(name)
             schema = struct(name)
             return spark.createDataFrame([] if row is None else [tuple(_from_json(row.get(f.name), f.dataType.typeName()) for f in schema.fields)], schema)
-        folder = manifest["tables"].get(name)
-        return spark.read.schema(struct(name)).parquet(f"file://{self.root / folder}") if folder else spark.createDataFrame([], struct(name))
-
-    def commit(self, changes: dict[str, DataFrame], singles: dict[str, dict[str, Any] | None] | None = None, merge_singles: bool = False) -> int:
+        schema, folder, deltas = struct(name), manifest["tables"].get(name), manifest.get("deltas", {}).get(name, [])
+        whole = spark.read.schema(schema).parquet(self._url(folder)) if folder else spark.createDataFrame([], schema)
+        if not deltas:
+            return whole
+        key = TABLES[name][1][0]
+        made = F.col("made_").cast("int")
+        later = spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, made_ int").parquet(*(self._url(f"{d}/rows") for d in deltas))
+        gone = spark.read.schema(f"{key} {schema[key].dataType.simpleString()}, made_ int").parquet(*(self._url(f"{d}/keys") for d in deltas))
+        gone = gone.groupBy(key).agg(F.max(made).alias("gone_"))
+        rows = whole.withColumn("made_", F.lit(0)).unionByName(later).join(gone, key, "left")
+        return rows.where(F.col("gone_").isNull() | (F.col("made_") >= F.col("gone_"))).select(*schema.names)
+
+    def _url(self, folder: str) -> str:
+        return f"file://{self.root / folder}"
+
+    def deltas(self) -> int:
+        """The number of deltas of the table that has most."""
+        return max(map(len, self.manifest().get("deltas", {}).values()), default=0)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Make whole tables of those with deltas."""
+        names = [n for n, d in self.manifest().get("deltas", {}).items() if d]
+        if names:
+            self.commit({n: self.read(spark, n) for n in names})
+
+    def upgrade(self, spark: SparkSession) -> bool:
+        """Rewrite a store of another schema: columns that are new are null, those that are gone go. Whether there was anything to do."""
+        if self.manifest()["schema_hash"] == SCHEMA_HASH:
+            return False
+        known = [n for n in self.manifest()["tables"] if n in TABLES]
+        self.commit({n: self.read(spark, n) for n in known})
+        return True
+
+    def commit(self, changes: dict[str, DataFrame | Delta], singles: dict[str, dict[str, Any] | None] | None = None, merge_singles: bool = False) -> int:
         """Write the changed tables, check their keys, then flip the manifest. The new version's number."""
         with self.lock():
             before = self.manifest()
-            after = before | {"version": before["version"] + 1, "schema_hash": SCHEMA_HASH, "tables": dict(before["tables"]), "singles": dict(before["singles"])}
+            after = before | {"version": before["version"] + 1, "schema_hash": SCHEMA_HASH, "tables": dict(before["tables"]), "singles": dict(before["singles"]), "deltas": dict(before.get("deltas", {}))}
             made: list[Path] = []
             try:
-                for name, df in changes.items():
+                for name, change in changes.items():
                     folder = f"{name}/{after['version']:08d}-{uuid.uuid4().hex[:8]}"
                     made.append(self.root / folder)
-                    df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(name).fields)).write.parquet(f"file://{self.root / folder}")
-                    self._check(df.sparkSession, name, folder)
-                    after["tables"][name] = folder
+                    if isinstance(change, Delta):
+                        key = TABLES[name][1][0]
+                        number = F.lit(after["version"]).alias("made_")
+                        change.keys.select(key, number).distinct().coalesce(1).write.parquet(self._url(f"{folder}/keys"))
+                        _of(name, change.rows).withColumn("made_", number).coalesce(1).write.parquet(self._url(f"{folder}/rows"))
+                        self._check(change.rows.sparkSession, name, f"{folder}/rows")
+                        after["deltas"][name] = [*after["deltas"].get(name, []), folder]
+                    else:
+                        _of(name, change).write.parquet(self._url(folder))
+                        self._check(change.sparkSession, name, folder)
+                        after["tables"][name] = folder
+                        after["deltas"].pop(name, None)
             except Exception:
                 for folder in made:
                     shutil.rmtree(folder, ignore_errors=True)
@@ -93,7 +143,7 @@ class Store:
 
     def _check(self, spark: SparkSession, name: str, folder: str) -> None:
         key = TABLES[name][1]
-        written = spark.read.schema(struct(name)).parquet(f"file://{self.root / folder}")
+        written = spark.read.schema(struct(name)).parquet(self._url(folder))
         bad = written.groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.greatest(*(F.col(k).isNull().cast("int") for k in key), F.lit(0)).cast("boolean")).limit(3).collect()
         if bad:
             raise ValueError(f"{name}: key {', '.join(key)} is null or repeated: {[tuple(r)[:-1] for r in bad]}")
@@ -104,7 +154,8 @@ class Store:
             manifest, gone = self.manifest(), []
             for name in TABLES:
                 for folder in (self.root / name).glob("*"):
-                    if f"{name}/{folder.name}" != manifest["tables"].get(name) and int(folder.name.split("-")[0]) <= manifest["version"] - keep:
+                    used = [manifest["tables"].get(name), *manifest.get("deltas", {}).get(name, [])]
+                    if f"{name}/{folder.name}" not in used and int(folder.name.split("-")[0]) <= manifest["version"] - keep:
                         shutil.rmtree(folder)
                         gone.append(f"{name}/{folder.name}")
             return gone
@@ -115,6 +166,11 @@ class Store:
         shutil.rmtree(self.root)
 
 
+def _of(name: str, df: DataFrame) -> DataFrame:
+    """The columns of a table, with its types."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(name).fields))
+
+
 def _to_json(value: Any) -> Any:
     return value.isoformat(sep=" ") if isinstance(value, datetime) else value
 

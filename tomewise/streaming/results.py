@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tomewise.plans.enrichment import merge_results
+from tomewise.plans.enrichment import commit_results
 from tomewise.plans.views import reader
 from tomewise.sources.labels import no_labels
 from tomewise.sources.store import Store
 
+#: Deltas of a table that are merged into it.
+COMPACT = 50
 RESULTS = "asin string, status string, source string, stages string, error string, candidates array<struct<candidate_id:string,search_rank:int,item_xml:string>>"
 
 
@@ -29,7 +31,11 @@ def merge_stream(spark: SparkSession, store: Store, incoming: str | Path, checkp
         one = batch.where("asin is not null").groupBy("asin").agg(F.min(rank).alias("r")).select("asin", "r.status", "r.source", "r.stages", "r.error", "r.candidates").cache()
         candidates = one.where("status <> 'error'").select("asin", F.inline(F.coalesce("candidates", F.expr("array()").cast("array<struct<candidate_id:string,search_rank:int,item_xml:string>>"))))
         now = clock()
-        store.commit(merge_results(reader(spark, store, no_labels(spark)), one.drop("candidates"), candidates, now), {"bib_metadata": {"last_enrich_at": now}}, merge_singles=True)
-        one.unpersist()
+        try:
+            commit_results(reader(spark, store, no_labels(spark)), store, one.drop("candidates"), candidates, now, {"bib_metadata": {"last_enrich_at": now}})
+        finally:
+            one.unpersist()
+        if store.deltas() >= COMPACT:
+            store.compact(spark)
 
     return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
