@@ -1,5 +1,6 @@
 """Import, store, views and the read commands."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -18,9 +19,9 @@ NOW = datetime(2026, 1, 2, 3, 4, 5)
 def library(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("library")
     store = Store(folder / "db")
-    assert library_json.import_library(spark, store, write_json(folder / "books.json"), NOW) == 5
+    assert library_json.import_library(spark, store, write_json(folder / "books.json"), NOW) == 6
     told = archive.import_archive(spark, store, write_zip(folder / "official.zip"), NOW)
-    assert told == {"genres_count": 4, "series_count": 3, "author_ids_count": 5, "author_names_count": 3, "distinct_asin_count": 5}
+    assert told == {"genres_count": 5, "series_count": 4, "author_ids_count": 5, "author_names_count": 3, "distinct_asin_count": 5}
     return Library(spark, store)
 
 
@@ -29,48 +30,53 @@ def rows(df):
 
 
 def test_books_are_normalised(library):
-    books = {r["asin"]: r for r in library.read("books").collect()}
-    assert books["B000TEST01"]["acquired_at"] == datetime(2024, 1, 15, 10, 30) and books["B000TEST02"]["title"] == "Another <Book>"
-    assert [books[f"B000TEST0{k}"]["product_image_url"] is None for k in (1, 3, 4, 5)] == [False, True, True, True]
-    assert rows(library.read("book_authors").where("asin = 'B000TEST02'")) == [("B000TEST02", "Alice Brown", 3), ("B000TEST02", "Jane Doe", 2), ("B000TEST02", "John Smith", 1)]
+    books = {r["asin"][-1]: r for r in library.read("books").collect()}
+    assert books["1"]["acquired_at"] == datetime(2021, 2, 3, 9, 47, 58) and books["2"]["title"] == "Salt & Tide '93"
+    assert {k for k, r in books.items() if r["product_image_url"] is not None} == {"1", "5"}
+    assert rows(library.read("book_authors").where("asin = 'B0TOME0002'")) == [("B0TOME0002", "Ida Moor", 1), ("B0TOME0002", "Tom Quill", 2), ("B0TOME0002", "Wren Ash", 3)]
 
 
 def test_views(library):
-    v = {r["asin"]: r for r in library.read("v_books").collect()}
-    assert len(v) == 5 and library.read("v_books").columns == views.BOOK_COLUMNS
-    one = v["B000TEST01"]
-    assert (one["authors"], one["genres"], one["author_ids"], one["author_names_official"]) == (["山田太郎", "佐藤花子"], ["Fantasy", "Fiction"], ["A1", "A2"], ["山田, 太郎", "佐藤花子"])
-    assert (one["series_title"], one["series_asin"], one["series_position"]) == ("Series Alpha", "B07D4FP6XQ", 1)
-    assert (v["B000TEST02"]["series_title"], v["B000TEST02"]["series_asin"], v["B000TEST02"]["series_position"]) == ("Series Without Asin", None, None)
-    assert v["B000TEST03"]["series_title"] is None and v["B000TEST04"]["genres"] == [] and v["B000TEST05"]["subjects"] == []
-    assert rows(library.read("v_genre_counts")) == [("Fantasy", 1), ("Fiction", 2)]
-    assert rows(library.read("v_series_counts")) == [("B07D4FP6XQ", "Series Alpha", 1), (None, "Series Without Asin", 1)]
-    assert ("山田太郎", 2) in rows(library.read("v_author_counts")) and library.read("v_author_counts").count() == 7
-    assert rows(library.read("v_author_id_counts")) == [("A1", "山田, 太郎", 3), ("A2", "佐藤花子", 1), ("A7", "(unknown)", 1)]
-    assert len(rows(library.read("v_book_authors_official"))) == 6 and library.read("v_book_series").count() == 3 and library.read("v_book_genres").count() == 3
+    v = {r["asin"][-1]: r for r in library.read("v_books").collect()}
+    assert len(v) == 6 and library.read("v_books").columns == views.BOOK_COLUMNS
+    assert (v["1"]["authors"], v["1"]["genres"], v["1"]["author_ids"], v["1"]["author_names_official"]) == (["海野渚", "丘田実"], ["Essays", "Sea"], ["P1", "P2"], ["海野, 渚", "丘田実"])
+    assert {k: (r["series_title"], r["series_asin"], r["series_position"]) for k, r in v.items() if r["series_title"]} == {"1": ("Almanac", None, 1), "2": ("Loose Series", None, None)}
+    assert v["6"]["authors"] is None and v["3"]["genres"] == v["6"]["subjects"] == []
+    assert rows(library.read("v_genre_counts")) == [("Craft", 1), ("Essays", 1), ("Sea", 2)]
+    assert rows(library.read("v_series_counts")) == [("B0SERIES01", "Coast Notes", 1), (None, "Almanac", 1), (None, "Loose Series", 1)]
+    assert ("海野渚", 2) in rows(library.read("v_author_counts")) and library.read("v_author_counts").count() == 7
+    assert rows(library.read("v_author_id_counts")) == [("P1", "Nora Fleece", 3), ("P2", "丘田実", 1), ("P3", "(unknown)", 1)]
+    assert len(rows(library.read("v_book_authors_official"))) == 5 and library.read("v_book_series").count() == library.read("v_book_genres").count() == 4
 
 
 def test_search_and_pages(library):
-    for term, asins in (("50% off_", ["B000TEST04"]), ("A\\B", ["B000TEST05"]), ("山田", ["B000TEST01", "B000TEST03"]), ("%", ["B000TEST04"]), ("nothing", [])):
+    for term, found in (("100%_w", "4"), ("c:\\maps", "5"), ("海野", "13"), ("%", "4"), ("tide", "2"), ("nothing", "")):
         page, total = library.search(term)
-        assert sorted(r["asin"] for r in page.collect()) == asins and total == len(asins)
+        assert sorted(r["asin"][-1] for r in page.collect()) == list(found) and total == len(found)
     page, total = library.search("book", limit=1)
-    assert [r["title"] for r in page.collect()] == ["50% OFF_ Book"] and total == 3
-    assert [r["asin"] for r in library.recent(2).collect()] == ["B000TEST02", "B000TEST05"]
+    assert [r["title"] for r in page.collect()] == ["Book of Rain"] and total == 2
+    assert [r["asin"][-1] for r in library.recent(2).collect()] == ["2", "5"]
     top, total = library.authors(1)
-    assert [tuple(r) for r in top.collect()] == [("山田太郎", 2)] and total == 7
+    assert [tuple(r) for r in top.collect()] == [("海野渚", 2)] and total == 7
     status = dict(library.status())
-    assert status["Books"] == "5" and status["Read status: UNKNOWN"] == "3" and status["Bib not fetched"] == "5" and status["Genres (rows)"] == "4"
+    assert status["Books"] == "6" and status["Read status: UNKNOWN"] == "3" and status["Bib not fetched"] == "6" and status["Genres (rows)"] == "5"
 
 
 def test_queries(library):
-    assert library.query("SELECT count(*) AS n FROM v_books").first()["n"] == 5
-    assert library.query("SELECT asin FROM v_books WHERE list_contains(genres, 'Fantasy') LIMIT 5").count() == 1
-    assert library.query("SELECT asin FROM v_books WHERE list_has_any(genres, array('Fantasy', 'x')) ORDER BY asin LIMIT 3;").count() == 1
-    assert library.query("WITH g AS (SELECT genre FROM v_book_genres) SELECT * FROM g LIMIT 10 OFFSET 1").count() == 2
+    assert library.query("SELECT count(*) AS n FROM v_books").first()["n"] == 6
+    assert library.query("SELECT asin FROM v_books WHERE list_contains(genres, 'Essays') LIMIT 5").count() == 1
+    assert library.query("SELECT asin FROM v_books WHERE list_has_any(genres, array('Craft', 'x')) ORDER BY asin LIMIT 3;").count() == 1
+    assert library.query("WITH g AS (SELECT genre FROM v_book_genres) SELECT * FROM g LIMIT 10 OFFSET 1").count() == 3
+    assert library.query("SELECT title FROM books b WHERE EXISTS (SELECT 1 FROM book_genres g WHERE g.asin = b.asin) AND asin IN (SELECT asin FROM v_books) LIMIT 9").count() == 3
     assert library.query("PRAGMA table_info('books')").count() == 7 and library.query("PRAGMA database_list").count() == 1
     assert library.query("DESCRIBE books").count() == 7 and library.query("SHOW TABLES").count() > 20 and library.query("EXPLAIN SELECT 1").count() == 1
-    assert '"title": "テストの本"' in gateway.as_json(library.query("SELECT title FROM books WHERE asin = 'B000TEST01' LIMIT 1"))
+    assert json.loads(gateway.as_json(library.query("SELECT title, series_title FROM v_books WHERE asin = 'B0TOME0005' LIMIT 1"))) == [{"title": "C:\\Maps\\Book of Roads", "series_title": None}]
+    assert gateway.as_json(library.query("SELECT title FROM books LIMIT 0")) == "[]"
+    outside = ("SELECT * FROM csv.`/etc/passwd` LIMIT 5", "SELECT 1 AS a WHERE EXISTS (SELECT 1 FROM text.`/etc/hosts`) LIMIT 1", "WITH c AS (SELECT * FROM parquet.`/x`) SELECT * FROM c LIMIT 1", "SELECT * FROM nowhere LIMIT 1")
+    called = ("SELECT reflect('java.lang.System', 'exit', 0) LIMIT 1", "SELECT 1 + length(java_method('java.lang.System', 'getenv', 'HOME')) AS n FROM books LIMIT 1", "SELECT (SELECT max(try_reflect('a', 'b')) FROM books) AS x LIMIT 1")
+    for bad in (*outside, *called):
+        with pytest.raises(guard.GuardError):
+            library.query(bad)
     for bad in ("WITH c AS (SELECT 1) INSERT INTO books SELECT * FROM c LIMIT 1", "SELECT a b c d FROM x LIMIT 5", "PRAGMA nothing"):
         with pytest.raises(guard.GuardError):
             library.query(bad)
@@ -131,7 +137,7 @@ def test_bad_exports_change_nothing(spark, tmp_path, text):
 def test_unknown_keys_are_told(spark, tmp_path):
     told = []
     library_json.validate(library_json.read_items(spark, write_json(tmp_path / "x.json", [BOOKS[0] | {"zeta": 1, "alpha": 2}])), told.append)
-    assert told == ["ASIN B000TEST01: ignoring unknown keys: alpha, zeta"]
+    assert told == ["ASIN B0TOME0001: ignoring unknown keys: alpha, zeta"]
 
 
 def test_bad_archives(spark, tmp_path):

@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__
 from library_data import item, write_json, write_zip
 from tomewise import cli
-from tomewise.plans import bindings
+from tomewise.plans import bindings, gateway
 from tomewise.server import FixServer
 from tomewise.sources import library_json
 from tomewise.sources.store import Store
@@ -22,21 +22,23 @@ NOW = datetime(2026, 1, 2, 3, 4, 5)
 
 class Silent:
     def search(self, params):
-        return (1, [item(1, "テストの本")]) if params.get("title") == "テストの本" else (0, [])
+        return (1, [item(1, "灯台の手帖")]) if params.get("title") == "灯台の手帖" else (0, [])
 
 
 def test_commands(spark, tmp_path):
     said = []
     run = lambda *a, **k: cli.run(["--db", str(tmp_path / "db"), *a], said.append, Silent(), **k)
     assert run("status") == 1 and "import a library first" in said[-1]
-    assert run("import", str(write_json(tmp_path / "x.json"))) == 0 and said[-1] == "Imported 5 books."
+    assert run("import", str(write_json(tmp_path / "x.json"))) == 0 and said[-1] == "Imported 6 books."
     assert run("import-official", str(write_zip(tmp_path / "x.zip"))) == 0
-    assert run("search", "book", "-n", "1") == 0 and said[-1] == "Showing 1 of 3 results."
+    assert run("search", "book", "-n", "1") == 0 and said[-1] == "Showing 1 of 2 results."
     assert run("search", "nothing") == 0 and said[-1] == "No results found."
     assert run("query", "SELECT asin FROM books") == 1 and "LIMIT" in said[-1]
-    assert run("query", "SELECT asin, acquired_at FROM books ORDER BY asin LIMIT 1") == 0 and json.loads(said[-1]) == [{"asin": "B000TEST01", "acquired_at": "2024-01-15 10:30:00"}]
-    assert run("query", "-t", "SELECT asin, genres FROM v_books ORDER BY asin LIMIT 2") == 0 and "Fantasy, Fiction" in said[-1]
-    assert run("enrich", "--where", "asin = 'B000TEST01'") == 0 and said[-1] == "1 books: found 1"
+    assert run("query", "SELECT asin, acquired_at FROM books ORDER BY asin LIMIT 1") == 0 and json.loads("\n".join(said[said.index("[") :])) == [{"asin": "B0TOME0001", "acquired_at": "2021-02-03 09:47:58"}]
+    assert run("query", "SELECT no_such_column FROM books LIMIT 1") == 1 and said[-1].startswith("Error: [UNRESOLVED_COLUMN") and "\n" not in said[-1]
+    assert run("query", "SELECT cast(title AS int) AS n FROM books LIMIT 1") == 1 and said[-1].startswith("Error: [CAST_INVALID_INPUT]")
+    assert run("query", "-t", "SELECT asin, genres FROM v_books ORDER BY asin LIMIT 2") == 0 and "Essays, Sea" in said[-1]
+    assert run("enrich", "--where", "asin = 'B0TOME0001'") == 0 and said[-1] == "1 books: found 1"
     assert run("rematch") == 0 and said[-1] == "Rematched 1 books: 0 changed, 0 without a match."
     assert run("status") == 0 and "Bib match: edition" in said[-1] and run("authors") == 0 and run("recent", "-n", "2") == 0
     assert run("delete", ask=lambda _: "n") == 0 and (tmp_path / "db").exists()
@@ -45,6 +47,25 @@ def test_commands(spark, tmp_path):
         cli.run(["--db", "", "status"])
 
 
+def test_log_files(tmp_path, capsys):
+    said = []
+    cli.route_log(False, str(tmp_path / "a.log"), said.append)
+    cli.log.info("kept from the screen", extra={"file_only": True})
+    cli.log.warning("on both")
+    text = (tmp_path / "a.log").read_text()
+    assert "kept from the screen" in text and "on both" in text and capsys.readouterr().err == "on both\n" and not said
+    cli.route_log(True, str(tmp_path / "missing" / "a.log"), said.append)
+    cli.log.warning("once")
+    cli.log.warning("twice")
+    assert len(said) == 1 and "can't write" in said[0]
+
+
+def test_tables_fold_by_cells():
+    text = gateway.as_table(["a", "title"], [(1, "灯" * 40), (None, ["x", "y"])])
+    lines = text.split("\n")
+    assert lines[0] == "a  title" and lines[1] == "1  " + "灯" * 30 and lines[2] == "   " + "灯" * 10 and lines[3] == "   x, y"
+
+
 def test_correction_api(spark, tmp_path):
     store = Store(tmp_path / "db")
     library_json.import_library(spark, store, write_json(tmp_path / "x.json"), NOW)
@@ -62,11 +83,16 @@ def test_correction_api(spark, tmp_path):
                 return e.code, json.load(e)
 
         assert call("/api/state", token="x")[0] == 403 and call("/api/state", host="evil.example")[0] == 403 and call("/nothing")[0] == 404
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"http://127.0.0.1:{server.port}/")
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.port}/?token={server.token}") as r:
+            page = r.read().decode()
+            assert r.headers["Content-Type"] == "text/html; charset=utf-8" and r.headers["X-Frame-Options"] == "DENY" and server.token in page and "/api/books" in page
         assert call("/api/state")[1] == {"db": str(store.root), "overrides_path": str(path), "overrides_exists": False, "overrides": {}, "pending": []}
-        assert call("/api/books?view=all")[1]["total"] == 5 and call("/api/books?view=x")[0] == 400 and call("/api/books/B999999999")[0] == 404
-        assert call("/api/apply", {"changes": [{"asin": "B000TEST02", "action": "exclude"}]})[1] == {"targets": 0, "counts": {}, "aborted": None}
+        assert call("/api/books?view=all")[1]["total"] == 6 and call("/api/books?view=x")[0] == 400 and call("/api/books/B999999999")[0] == 404
+        assert call("/api/apply", {"changes": [{"asin": "B0TOME0002", "action": "exclude"}]})[1] == {"targets": 0, "counts": {}, "aborted": None}
         assert call("/api/apply", {"changes": 3})[0] == 400 and call("/api/apply", {}, kind="text/plain")[0] == 400
-        assert call("/api/books?view=excluded")[1]["books"][0]["asin"] == "B000TEST02" and path.read_text() == "asin,isbn\nB000TEST02,\n"
+        assert call("/api/books?view=excluded")[1]["books"][0]["asin"] == "B0TOME0002" and path.read_text() == "asin,isbn\nB0TOME0002,\n"
         server.shutdown()
 
 
@@ -80,12 +106,12 @@ def test_streamed_results(spark, tmp_path):
         (incoming / name).write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
         merge_stream(spark, store, incoming, tmp_path / "checkpoint", lambda: NOW).awaitTermination()
 
-    good = {"asin": "B000TEST01", "status": "found", "source": "title", "candidates": [{"candidate_id": "R100000002-I1", "search_rank": 1, "item_xml": item(1, "テストの本")}]}
-    arrive("1.json", good, {"asin": "B000TEST02", "status": "error", "error": "x"}, {"asin": "B000TEST01", "status": "not_found"})
-    assert {r["asin"]: r["status"] for r in store.read(spark, "bib_fetches").collect()} == {"B000TEST01": "found", "B000TEST02": "error"}
+    good = {"asin": "B0TOME0001", "status": "found", "source": "title", "candidates": [{"candidate_id": "R100000002-I1", "search_rank": 1, "item_xml": item(1, "灯台の手帖")}]}
+    arrive("1.json", good, {"asin": "B0TOME0002", "status": "error", "error": "x"}, {"asin": "B0TOME0001", "status": "not_found"})
+    assert {r["asin"]: r["status"] for r in store.read(spark, "bib_fetches").collect()} == {"B0TOME0001": "found", "B0TOME0002": "error"}
     assert store.read(spark, "bib_matches").first()["method"] == "edition"
-    arrive("2.json", {"asin": "B000TEST01", "status": "error"}, {"asin": "B000TEST02", "status": "not_found"})
-    assert {r["asin"]: r["status"] for r in store.read(spark, "bib_fetches").collect()} == {"B000TEST01": "found", "B000TEST02": "not_found"}
+    arrive("2.json", {"asin": "B0TOME0001", "status": "error"}, {"asin": "B0TOME0002", "status": "not_found"})
+    assert {r["asin"]: r["status"] for r in store.read(spark, "bib_fetches").collect()} == {"B0TOME0001": "found", "B0TOME0002": "not_found"}
     assert store.read(spark, "bib_candidates").count() == 1
 
 

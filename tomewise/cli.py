@@ -10,6 +10,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from tomewise.plans import enrichment, gateway
@@ -80,15 +81,46 @@ def _page(say: Callable[[str], None], page, total: int | None, noun: str) -> Non
         say(f"Showing {len(rows)} of {total} {noun}.")
 
 
+class _LogFile(logging.FileHandler):
+    """A log file that tells once if it can't be written, and lets the command go on."""
+
+    def __init__(self, path: str, say: Callable[[str], None]):
+        super().__init__(path, encoding="utf-8", delay=True)
+        self.say, self.told = say, False
+        self.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+
+    def emit(self, record: logging.LogRecord) -> None:
+        try:
+            super().emit(record)
+        except OSError:
+            self.handleError(record)
+
+    def handleError(self, record: logging.LogRecord) -> None:
+        if not self.told:
+            self.told = True
+            self.say(f"Warning: can't write the log file {self.baseFilename}")
+
+
+def route_log(verbose: bool, path: str | None, say: Callable[[str], None]) -> None:
+    """Records go to standard error, those marked ``file_only`` to the log file alone, which takes all of them."""
+    log.setLevel(logging.INFO if verbose or path else logging.WARNING)
+    log.propagate = False
+    for old in list(log.handlers):
+        log.removeHandler(old)
+        old.close()
+    screen = logging.StreamHandler(sys.stderr)
+    screen.setLevel(logging.INFO if verbose else logging.WARNING)
+    screen.addFilter(lambda r: not getattr(r, "file_only", False))
+    log.addHandler(screen)
+    if path:
+        log.addHandler(_LogFile(path, say))
+    log.info("started", extra={"file_only": True})
+
+
 def run(argv: list[str], say: Callable[[str], None] = print, client=None, ask: Callable[[str], str] = input) -> int:
     """Run one command. 0 for success, 1 for an error that is told, 130 after an interrupt."""
     a = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING, stream=sys.stderr)
-    if a.log_file:
-        try:
-            log.addHandler(logging.FileHandler(a.log_file, encoding="utf-8"))
-        except OSError as e:
-            say(f"Warning: can't write the log file: {e}")
+    route_log(a.verbose, a.log_file, say)
     store = store_of(a.db)
     try:
         return _command(a, store, say, client, ask)
@@ -97,6 +129,9 @@ def run(argv: list[str], say: Callable[[str], None] = print, client=None, ask: C
     except (ValueError, OSError, StoreLocked, GuardError) as e:
         say(f"Error: {e}")
         return 1
+    except PySparkException as e:  # an unknown column, a value that can't be cast
+        say(f"Error: {str(e).strip().splitlines()[0]}")
+        return 1
 
 
 def _command(a: argparse.Namespace, store: Store, say: Callable[[str], None], client, ask: Callable[[str], str]) -> int:
@@ -126,13 +161,19 @@ def _command(a: argparse.Namespace, store: Store, say: Callable[[str], None], cl
         _page(say, library.recent(a.limit), None, "books")
     elif a.command == "query":
         df = library.query(a.sql, a.allow_unlimited)
-        _page(say, df, None, "rows") if a.table else say(gateway.as_json(df))
+        if a.table:
+            _page(say, df, None, "rows")
+        else:
+            for line in gateway.json_lines(df):
+                say(line)
     elif a.command == "rematch":
         s = enrichment.rematch(spark, store, now())
         say(f"Rematched {s.books} books: {s.changed} changed, {s.lost} without a match.")
     elif a.command == "enrich":
         given = overrides.read_overrides(spark, a.overrides) if a.overrides else None
-        s = enrichment.enrich(spark, store, client or Client(), now, a.where, a.retry_missing, a.refresh, a.limit, given, a.overrides or "overrides.csv")
+        s = enrichment.enrich(spark, store, client or Client(), now, a.where, a.retry_missing, a.refresh, a.limit, given, a.overrides or "overrides.csv", labels=library.labels)
+        if s.overrides and s.overrides.unknown:
+            say(f"Warning: corrections of books that aren't in the library: {', '.join(s.overrides.unknown)}")
         say(f"{s.targets} books: " + ", ".join(f"{k} {v}" for k, v in sorted(s.counts.items())) + (" (more are left)" if s.truncated else ""))
         if s.counts.get("error"):
             say("Warning: some books failed; the next run tries them again.")
@@ -142,8 +183,8 @@ def _command(a: argparse.Namespace, store: Store, say: Callable[[str], None], cl
     elif a.command == "fix":
         from tomewise.server import FixServer
 
-        server = FixServer(spark, store, enrichment.overrides_path(spark, store, Path(a.overrides) if a.overrides else None), client or Client(), a.port)
-        say(f"Serving http://127.0.0.1:{server.port}/ (token {server.token}); Ctrl-C stops.")
+        server = FixServer(spark, store, enrichment.overrides_path(spark, store, Path(a.overrides) if a.overrides else None), client or Client(), a.port, library.labels)
+        say(f"Serving http://127.0.0.1:{server.port}/?token={server.token}; Ctrl-C stops.")
         with server:
             server.serve_forever()
     return 0

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tomewise.operators.paging import matches, top
 from tomewise.plans import guard, views
+from tomewise.plans.schema import SINGLES, TABLES
 from tomewise.sources.labels import no_labels
 from tomewise.sources.store import Store
 
@@ -28,6 +32,7 @@ class Library:
     def __init__(self, spark: SparkSession, store: Store, labels: DataFrame | None = None):
         if not store.exists:
             raise FileNotFoundError(f"No store at {store.root}; import a library first")
+        store.upgrade(spark)
         self.spark, self.store = spark, store
         self.read = views.reader(spark, store, labels if labels is not None else no_labels(spark))
         self.labels = labels if labels is not None else no_labels(spark)
@@ -39,7 +44,8 @@ class Library:
 
     def query(self, sql: str, allow_unlimited: bool = False) -> DataFrame:
         """Run one reading statement; dialect is Spark SQL, with arrays written as ``array('a', 'b')``."""
-        guard.check(self.spark, sql, allow_unlimited)
+        names = [*TABLES, *SINGLES, "v_ndc_labels", *views.VIEWS]
+        guard.check(self.spark, sql, allow_unlimited, names)
         self.register()
         sql = re.sub(r"(\s*;)+\s*$", "", sql)
         return self._pragma(sql) if re.match(r"\s*PRAGMA\b", sql, re.IGNORECASE) else self.spark.sql(sql)
@@ -97,8 +103,26 @@ class Library:
         return [*rows, ("Database", str(self.store.root))]
 
 
+def _streamed(df: DataFrame) -> Iterator[Row]:
+    """Rows one partition after another; an error of a row is told as ``ValueError``."""
+    try:
+        yield from df.toLocalIterator()
+    except Py4JJavaError as e:
+        told = re.search(r"\[[A-Z_.]+\] [^\n]*", str(e))
+        raise ValueError(told[0] if told else str(e).splitlines()[0]) from e
+
+
+def json_lines(df: DataFrame) -> Iterator[str]:
+    """The result as lines of a JSON array, so that an unlimited one is never held as a whole."""
+    held = None
+    for row in _streamed(df):
+        yield "[" if held is None else f"{held},"
+        held = "\n".join(f"  {line}" for line in json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2, default=str).split("\n"))
+    yield from ("[]",) if held is None else (held, "]")
+
+
 def as_json(df: DataFrame) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], ensure_ascii=False, indent=2, default=str)
+    return "\n".join(json_lines(df))
 
 
 def shown(value: Any) -> str:
@@ -106,7 +130,33 @@ def shown(value: Any) -> str:
     return "" if value is None else ", ".join(map(shown, value)) if isinstance(value, list) else str(value)
 
 
+#: Cells that a column of a table has at most; longer values go on in the next line.
+MOST_CELLS = 60
+
+
+def cells_of(char: str) -> int:
+    """Terminal cells of a character: two for wide ones, none for combining ones."""
+    return 0 if unicodedata.combining(char) else 2 if unicodedata.east_asian_width(char) in "WF" else 1
+
+
+def folded(text: str, most: int = MOST_CELLS) -> list[tuple[str, int]]:
+    """A text as lines of at most ``most`` cells, with the cells of each."""
+    lines, line, held = [], "", 0
+    for char in text.replace("\n", " "):
+        wide = cells_of(char)
+        if held + wide > most:
+            lines.append((line, held))
+            line, held = "", 0
+        line, held = line + char, held + wide
+    return [*lines, (line, held)]
+
+
 def as_table(columns: list[str], rows: list[tuple]) -> str:
-    cells = [columns, *([shown(v) for v in r] for r in rows)]
-    widths = [max(len(r[i]) for r in cells) for i in range(len(columns))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells)
+    cells = [[folded(shown(v)) for v in row] for row in [columns, *rows]]
+    widths = [max(held for row in cells for _, held in row[i]) for i in range(len(columns))]
+    out = []
+    for row in cells:
+        for k in range(max(map(len, row), default=1)):
+            parts = [c[k] if k < len(c) else ("", 0) for c in row]
+            out.append("  ".join(text + " " * (w - held) for (text, held), w in zip(parts, widths, strict=True)).rstrip())
+    return "\n".join(out)

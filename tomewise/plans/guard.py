@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
@@ -56,33 +57,60 @@ def is_simple_aggregate(sql: str) -> bool:
 
 def check_text(sql: str, allow_unlimited: bool = False) -> None:
     if not re.match(ALLOWED, sql, re.IGNORECASE):
-        raise GuardError("Only SELECT, WITH, SHOW, DESCRIBE, EXPLAIN, PRAGMA statements are allowed.")
+        raise GuardError("this isn't a statement that reads: begin with SELECT, WITH, SHOW, DESCRIBE, EXPLAIN or PRAGMA")
     if ";" in _bare(sql):
-        raise GuardError("Only a single SQL statement is allowed.")
+        raise GuardError("more than one statement: give them one at a time")
     if not allow_unlimited and re.match(LIMITED, sql, re.IGNORECASE) and not (re.search(LIMIT_AT_END, _bare(sql), re.IGNORECASE) or is_simple_aggregate(sql)):
-        raise GuardError("SELECT/WITH queries must include a top-level LIMIT, for example `SELECT title FROM v_books ORDER BY title LIMIT 100 OFFSET 0`. Allow an unlimited result only where it is meant.")
+        raise GuardError("the result has no bound: end the statement with LIMIT n or LIMIT n OFFSET m, or allow an unlimited result")
 
 
-def check_plan(spark: SparkSession, sql: str) -> None:
-    """Reject any statement whose parsed plan holds a command, wherever it stands: Spark has no read-only session."""
+#: Functions that run code of the JVM or read files beside the store.
+FORBIDDEN = {"reflect", "try_reflect", "java_method", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files"}
+_PLAN, _COMMAND = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan", "org.apache.spark.sql.catalyst.plans.logical.Command"
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_plan(spark: SparkSession, sql: str, relations: Iterable[str] | None = None) -> None:
+    """Reject any statement whose parsed plan holds, wherever it stands, a command, a forbidden function, or a relation that isn't
+    among ``relations`` or the statement's own names: Spark has no read-only session, and reads files by path."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"(\s*;)+\s*$", "", sql))
     except ParseException as e:
-        raise GuardError(f"Invalid SQL: {e.getMessage() if hasattr(e, 'getMessage') else e}") from e
-    waiting = [plan]
+        raise GuardError(f"this can't be read as SQL: {e.getMessage() if hasattr(e, 'getMessage') else e}") from e
+    is_a = lambda name, x: spark._jvm.java.lang.Class.forName(name).isInstance(x)
+    waiting, read, own = [plan], [], set()
     while waiting:
         node = waiting.pop()
         name = node.getClass().getSimpleName()
-        if name not in _READING and not name.startswith("Show") and (spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command").isInstance(node) or name.startswith(("Insert", "Create", "Replace", "Drop"))):
-            raise GuardError(f"Only reading statements are allowed, not {name}.")
-        for children in (node.children(), node.innerChildren()):
-            waiting += [c for c in (children.apply(i) for i in range(children.size())) if spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(c)]
-
-
-def check(spark: SparkSession, sql: str, allow_unlimited: bool = False) -> None:
+        if is_a(_PLAN, node):
+            if name not in _READING and not name.startswith("Show") and (is_a(_COMMAND, node) or name.startswith(("Insert", "Create", "Replace", "Drop"))):
+                raise GuardError(f"{name} isn't a statement that reads")
+            if name == "UnresolvedRelation":
+                read.append(_items(node.multipartIdentifier()))
+            if name == "UnresolvedWith":
+                own |= {pair._1().lower() for pair in _items(node.cteRelations())}
+            waiting += _items(node.expressions().toList())
+        if name in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            called = _items(node.nameParts() if name == "UnresolvedFunction" else node.name())[-1].lower()
+            if called in FORBIDDEN:
+                raise GuardError(f"the function {called} isn't allowed")
+        for nodes in (node.children(), node.innerChildren()) if is_a(_PLAN, node) else (node.children(),):
+            waiting += _items(nodes)
+        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            waiting.append(node.plan())
+    if relations is not None:
+        known = {r.lower() for r in relations} | own
+        if bad := [".".join(parts) for parts in read if len(parts) > 1 or parts[0].lower() not in known]:
+            raise GuardError(f"there is no table or view {bad[0]}")
+
+
+def check(spark: SparkSession, sql: str, allow_unlimited: bool = False, relations: Iterable[str] | None = None) -> None:
     check_text(sql, allow_unlimited)
     if not re.match(r"\s*PRAGMA\b", sql, re.IGNORECASE):
-        check_plan(spark, sql)
+        check_plan(spark, sql, relations)
 
 
 def escape_like(term: str) -> str:
