@@ -20,24 +20,24 @@ def test_key_join_over_all_parts(spark):
         shared = {b: len(words & other) for b, other in parts.items() if b != a and words & other}
         if shared:
             want[a] = (min(shared), sum(shared.values()))
-    got = {r["book"]: (r["candidate"], r["n"]) for r in bindings.QUERIES["key_join_whole"](spark, SF).collect()}
+    got = {r["book"]: (r["candidate"], r["n"]) for r in bindings.QUERIES["key_join"](spark, SF).collect()}
     assert got == want and max(got) > 50
 
 
-def test_bindings_over_whole_tables(spark):
+def test_bindings_over_tables(spark):
     rows = lambda name: [tuple(r) for r in bindings.QUERIES[name](spark, SF).collect()]
     table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     orders = {r[0] for r in table("orders").select("o_orderkey").collect()}
     lines = table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").collect()
     children = sum(r["l_orderkey"] in orders for r in lines)
-    assert len(rows("child_rows_whole")) == len(rows("child_rows_nullif_whole")) == children
+    assert len(rows("child_rows")) == len(rows("child_rows_nullif")) == children
     flags = {s: [r["l_returnflag"] for r in lines if r["l_suppkey"] == s] for (s,) in table("supplier").select("s_suppkey").collect()}
-    assert dict(rows("majority_value_whole")) == {s: min(set(f), key=lambda x: (-f.count(x), x)) if f else "(unknown)" for s, f in flags.items()}
-    assert {p for p, _ in rows("search_exists_whole")} >= {r["l_partkey"] for r in lines if r["l_returnflag"] == "R"} & {p for (p,) in table("part").select("p_partkey").collect()}
-    changes = {d: c for d, c, *_ in rows("map_diff_whole")}
+    assert dict(rows("majority_value")) == {s: min(set(f), key=lambda x: (-f.count(x), x)) if f else "(unknown)" for s, f in flags.items()}
+    assert {p for p, _ in rows("search_exists")} >= {r["l_partkey"] for r in lines if r["l_returnflag"] == "R"} & {p for (p,) in table("part").select("p_partkey").collect()}
+    changes = {d: c for d, c, *_ in rows("map_diff")}
     labels = {r["doc_id"]: r for r in table("labels").collect()}
     assert {d for d, c in changes.items() if c != "added"} == {d for d, r in labels.items() if r["toxic"] == 1}
     last = {}
     for r in table("events").orderBy("event_id").collect():
         last.setdefault(r["user_id"], []).append(r["event_type"])
-    assert dict(rows("guarded_merge_whole")) == {u: e[0] if e[-1] == "error" != e[0] else e[-1] for u, e in last.items()}
+    assert dict(rows("guarded_merge")) == {u: e[0] if e[-1] == "error" != e[0] else e[-1] for u, e in last.items()}

@@ -28,12 +28,12 @@ def matches(columns: list[str], term: str) -> Column:
 
 
 def search(df: DataFrame, columns: list[str], term: str, child: DataFrame | None = None, key: str | None = None, child_column: str | None = None) -> DataFrame:
-    """Rows that contain ``term`` themselves or have a child row that does."""
+    """Rows that contain ``term`` themselves or have a child row that does (an existence join, which needs no distinct keys)."""
     hit = F.coalesce(matches(columns, term), F.lit(False))
     if child is None:
         return df.where(hit)
-    children = child.where(matches([child_column], term)).select(key).distinct().withColumn("child_", F.lit(True))
-    return df.join(children, key, "left").where(hit | F.col("child_").isNotNull()).drop("child_")
+    own = child.select(F.col(key).alias("key_"), F.col(child_column).alias("text_")).where(matches(["text_"], term))
+    return df.where(hit | own.where(F.col("key_") == F.col(key).outer()).exists())
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def pick(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
-    """Per key the columns of the row that comes first (nulls in the order come last). Combines before the shuffle: no window, no sort."""
+    """Per key the columns of the row that comes first (nulls in the order come last). Combines before the shuffle; structs are compared by a sort aggregate."""
     rank = [c for o in order for c in (o.isNull(), o)]
     first = F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(rank)), *(F.col(c).alias(c) for c in columns)))
     return df.groupBy(*keys).agg(first.alias("first")).select(*keys, *(F.col(f"first.{c}").alias(c) for c in columns))

@@ -74,16 +74,15 @@ def join_count(t: Tables) -> DataFrame:
     return e.join(c, e.user_id == c.c_custkey).groupBy("event_type").agg(F.count_distinct("c_custkey").alias("n_users"))
 
 
-@query("SELECT o_orderkey, o_orderstatus, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 45")
+@query("SELECT o_orderkey, o_orderstatus, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def child_rows(t: Tables) -> DataFrame:
-    """View of the children of existing parents only."""
-    o, li = t("orders"), t("lineitem").where("l_quantity >= 45")
+    o, li = t("orders"), t("lineitem")
     return o.join(li, o.o_orderkey == li.l_orderkey).select("o_orderkey", "o_orderstatus", "l_partkey")
 
 
-@query("SELECT nullif(l_linestatus, 'O') AS series, o_orderkey, l_linenumber AS position FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_tax = 0.08")
+@query("SELECT nullif(l_linestatus, 'O') AS series, o_orderkey, l_linenumber AS position FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def child_rows_nullif(t: Tables) -> DataFrame:
-    o, li = t("orders"), t("lineitem").where("l_tax = 0.08")
+    o, li = t("orders"), t("lineitem")
     return o.join(li, o.o_orderkey == li.l_orderkey).select(F.nullif(F.col("l_linestatus"), F.lit("O")).alias("series"), "o_orderkey", F.col("l_linenumber").alias("position"))
 
 
@@ -101,12 +100,12 @@ def full_outer_positional(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY ALL),
+WITH n AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) AS rn FROM n)
 SELECT s_suppkey, coalesce(l_returnflag, '(unknown)') AS flag FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey AND rn = 1
 """)
 def majority_value(t: Tables) -> DataFrame:
-    s, best = t("supplier").select("s_suppkey"), picks.majority(t("lineitem").where("l_quantity > 49"), ["l_suppkey"], "l_returnflag", "flag")
+    s, best = t("supplier").select("s_suppkey"), picks.majority(t("lineitem"), ["l_suppkey"], "l_returnflag", "flag")
     return s.join(best, s.s_suppkey == best.l_suppkey, "left").select("s_suppkey", F.coalesce("flag", F.lit("(unknown)")).alias("flag"))
 
 
@@ -114,10 +113,10 @@ def majority_value(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A1R%' OR p_type ILIKE '%A1R%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND 'a1' || l_returnflag ILIKE '%A1R%' AND l_quantity > 45)
+SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A1R%' OR p_type ILIKE '%A1R%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND 'a1' || l_returnflag ILIKE '%A1R%')
 """)
 def search_exists(t: Tables) -> DataFrame:
-    child = t("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("a1"), F.col("l_returnflag")).alias("tag"))
+    child = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("a1"), F.col("l_returnflag")).alias("tag"))
     return paging.search(t("part"), ["p_name", "p_type"], "A1R", child, "p_partkey", "tag").select("p_partkey", "p_name")
 
 
@@ -320,29 +319,30 @@ def common_values(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 4 <> 0)
+WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, quality FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 1 - quality FROM labels WHERE toxic = 1 AND quality = 1)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.quality AS old_value, b.quality AS new_value
 FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.quality IS DISTINCT FROM b.quality
 """)
 def map_diff(t: Tables) -> DataFrame:
-    labels = t("labels").select("doc_id", "quality")
-    new = labels.where("doc_id % 4 <> 0").withColumn("quality", F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
-    return merging.map_diff(labels.where("doc_id % 3 <> 0"), new, "doc_id", "quality")
+    """All labels against a version without toxic ones of quality 0, those of quality 1 lowered, and unlabelled documents as 0."""
+    old, docs = t("labels").select("doc_id", "quality"), t("documents").select("doc_id")
+    kept = t("labels").where("toxic = 0 or quality = 1").select("doc_id", F.when(F.col("toxic") == 1, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
+    return merging.map_diff(old, kept.unionByName(docs.join(old, "doc_id", "left_anti").withColumn("quality", F.lit(0))), "doc_id", "quality")
 
 
-@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels WHERE doc_id % 7 = 0")
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels")
 def keyed_merge(t: Tables) -> DataFrame:
     labels = t("labels")
-    return merging.keyed_merge(labels, labels.where("doc_id % 7 = 0").withColumn("quality", (1 - F.col("quality")).cast(labels.schema["quality"].dataType)), "doc_id")
+    return merging.keyed_merge(labels, labels.where("toxic = 1").withColumn("quality", (1 - F.col("quality")).cast(labels.schema["quality"].dataType)), "doc_id")
 
 
 @query("""
 SELECT e.user_id, CASE WHEN n.event_type IS NULL OR (n.event_type = 'error' AND e.event_type <> 'error') THEN e.event_type ELSE n.event_type END AS status
-FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) e LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY user_id) n USING (user_id)
+FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) e LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) n USING (user_id)
 """)
 def guarded_merge(t: Tables) -> DataFrame:
     current = picks.pick(t("events"), ["user_id"], [F.col("event_id")], ["event_type"]).select("user_id", F.col("event_type").alias("status"))
-    results = t("events").where("event_id % 2 = 0").select("user_id", F.col("event_type").alias("status"), "event_id")
+    results = t("events").select("user_id", F.col("event_type").alias("status"), "event_id")
     return merging.latest_result(current, results, "user_id", "status", [F.col("event_id").desc()])
 
 
@@ -369,77 +369,9 @@ def staged_resolution(t: Tables) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS key FROM part), d AS (SELECT DISTINCT p_partkey, key FROM k)
-SELECT a.p_partkey AS book, min(b.p_partkey) AS candidate, count(*) AS n FROM d a JOIN d b ON a.key = b.key AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50 GROUP BY a.p_partkey
+SELECT a.p_partkey AS book, min(b.p_partkey) AS candidate, count(*) AS n FROM d a JOIN d b ON a.key = b.key AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey
 """)
 def key_join(t: Tables) -> DataFrame:
-    """Entity resolution over all parts; the SQL asks for the first ones only. ``key_join_whole`` gives every part."""
-    return _key_join(t).where("book <= 50")
-
-
-def _key_join(t: Tables) -> DataFrame:
+    """Entity resolution: rows that share exploded keys, one row per book."""
     keys = t("part").select(F.col("p_partkey").alias("book"), F.explode(F.split("p_name", " ")).alias("key"))
     return merging.key_candidates(keys, "book", "key")
-
-
-@query("""
-WITH k AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS key FROM part), d AS (SELECT DISTINCT p_partkey, key FROM k)
-SELECT a.p_partkey AS book, min(b.p_partkey) AS candidate, count(*) AS n FROM d a JOIN d b ON a.key = b.key AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey
-""")
-def key_join_whole(t: Tables) -> DataFrame:
-    """Entity resolution: rows that share exploded keys, one row per book."""
-    return _key_join(t)
-
-
-# The same operators over whole tables; the SQL of their namesakes asks for a part only.
-
-
-@query("SELECT o_orderkey, o_orderstatus, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def child_rows_whole(t: Tables) -> DataFrame:
-    o, li = t("orders"), t("lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey).select("o_orderkey", "o_orderstatus", "l_partkey")
-
-
-@query("SELECT nullif(l_linestatus, 'O') AS series, o_orderkey, l_linenumber AS position FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def child_rows_nullif_whole(t: Tables) -> DataFrame:
-    o, li = t("orders"), t("lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey).select(F.nullif(F.col("l_linestatus"), F.lit("O")).alias("series"), "o_orderkey", F.col("l_linenumber").alias("position"))
-
-
-@query("""
-WITH n AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) AS rn FROM n)
-SELECT s_suppkey, coalesce(l_returnflag, '(unknown)') AS flag FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey AND rn = 1
-""")
-def majority_value_whole(t: Tables) -> DataFrame:
-    s, best = t("supplier").select("s_suppkey"), picks.majority(t("lineitem"), ["l_suppkey"], "l_returnflag", "flag")
-    return s.join(best, s.s_suppkey == best.l_suppkey, "left").select("s_suppkey", F.coalesce("flag", F.lit("(unknown)")).alias("flag"))
-
-
-@query("""
-SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A1R%' OR p_type ILIKE '%A1R%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND 'a1' || l_returnflag ILIKE '%A1R%')
-""")
-def search_exists_whole(t: Tables) -> DataFrame:
-    child = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("a1"), F.col("l_returnflag")).alias("tag"))
-    return paging.search(t("part"), ["p_name", "p_type"], "A1R", child, "p_partkey", "tag").select("p_partkey", "p_name")
-
-
-@query("""
-WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, quality FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 1 - quality FROM labels WHERE toxic = 1 AND quality = 1)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.quality AS old_value, b.quality AS new_value
-FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.quality IS DISTINCT FROM b.quality
-""")
-def map_diff_whole(t: Tables) -> DataFrame:
-    """All labels against a version without toxic ones of quality 0, those of quality 1 lowered, and unlabelled documents as 0."""
-    old, docs = t("labels").select("doc_id", "quality"), t("documents").select("doc_id")
-    kept = t("labels").where("toxic = 0 or quality = 1").select("doc_id", F.when(F.col("toxic") == 1, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
-    return merging.map_diff(old, kept.unionByName(docs.join(old, "doc_id", "left_anti").withColumn("quality", F.lit(0))), "doc_id", "quality")
-
-
-@query("""
-SELECT e.user_id, CASE WHEN n.event_type IS NULL OR (n.event_type = 'error' AND e.event_type <> 'error') THEN e.event_type ELSE n.event_type END AS status
-FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) e LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) n USING (user_id)
-""")
-def guarded_merge_whole(t: Tables) -> DataFrame:
-    current = picks.pick(t("events"), ["user_id"], [F.col("event_id")], ["event_type"]).select("user_id", F.col("event_type").alias("status"))
-    results = t("events").select("user_id", F.col("event_type").alias("status"), "event_id")
-    return merging.latest_result(current, results, "user_id", "status", [F.col("event_id").desc()])
