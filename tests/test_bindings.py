@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tomewise.plans import bindings
+from tomewise.plans import bindings, catalogue  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def plain(value):
 @pytest.mark.parametrize("name", bindings.QUERIES)
 def test_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in "customer supplier part orders lineitem events documents labels conversations".split():
+    for table in "region nation customer supplier part orders lineitem events documents labels conversations".split():
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df, want = bindings.QUERIES[name](spark, SF), con.sql(bindings.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
