@@ -139,13 +139,13 @@ def isbn(value: Column) -> Column:
 
 
 @query("""
-SELECT o_orderkey, 'R100000002-I' || o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS volume, ['s' || o_custkey, 't'] AS subjects, [{'edition': '10', 'code': (o_custkey % 1000)::VARCHAR}] AS ndcs,
+SELECT o_orderkey, 'R100000002-I' || o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS volume, ['s' || o_custkey, 't'] AS subjects, '10' AS ndc_edition, (o_custkey % 1000)::VARCHAR AS ndc, 1 AS ndcs,
   [o_orderkey::VARCHAR] AS isbns, ['図書', '紙'] AS categories, CAST([] AS VARCHAR[]) AS series FROM orders
 """)
 def record_fields(t: Tables) -> DataFrame:
     subjects = text(element("dc:subject", text("s", c("o_custkey"))), element("dc:subject", c("o_custkey") % 1000, ' xsi:type="dcndl:NDC10"'), element("dc:subject", F.lit("t")), element("dc:subject", F.lit("x"), ' xsi:type="dcndl:Other"'))
     xml = item(c("o_orderkey"), c("o_orderpriority"), element("dcndl:volume", F.when(c("o_orderstatus") != "F", c("o_orderstatus"))), subjects, isbn(c("o_orderkey")), element("dc:identifier", F.lit("no"), ' xsi:type="dcndl:JPNO"'))
-    return t("orders").select("o_orderkey", record_of(xml).alias("r")).select("o_orderkey", *(f"r.{x}" for x in ("id", "title", "volume", "subjects", "ndcs", "isbns", "categories", "series")))
+    return t("orders").select("o_orderkey", record_of(xml).alias("r")).select("o_orderkey", *(f"r.{x}" for x in ("id", "title", "volume", "subjects", "isbns", "categories", "series")), c("r.ndcs")[0]["edition"].alias("ndc_edition"), c("r.ndcs")[0]["code"].alias("ndc"), F.size("r.ndcs").alias("ndcs"))
 
 
 def _matched(t: Tables, title: Column, xml: Column, source: str = "title") -> DataFrame:
