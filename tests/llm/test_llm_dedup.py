@@ -271,3 +271,107 @@ def test_bits_of_different_documents_are_no_passage(spark):
     whole = "".join(rng.choices("abcdefgh ", k=130))
     docs = [(1, whole[:85] + "x" * 50), (2, "y" * 50 + whole[46:]), (3, whole)]
     assert substring_dedup.repeated_passages(spark.createDataFrame(docs, DOC)).count() == 0
+
+
+def plain_units(raw):
+    """(start, stop) of each unit, from the definition: anchors are least hashes of all stretches of ``WINDOW`` places."""
+    def key(p):
+        h = 0
+        for b in raw[p : p + substring_dedup.GRAM]:
+            h = ((h << 1) + int(substring_dedup._GEAR[b])) & 0xFFFF
+        return h
+
+    ok = [p + substring_dedup.GRAM <= len(raw) and raw[p] & 0xC0 != 0x80 for p in range(len(raw))]
+    hashes = [key(p) if good else None for p, good in enumerate(ok)]
+    anchors = set()
+    for w in range(len(raw) - substring_dedup.WINDOW + 1):
+        if places := [p for p in range(w, w + substring_dedup.WINDOW) if ok[p]]:
+            anchors.add(min(places, key=lambda p: (hashes[p], p)))
+    return [(a, whole(raw, a + substring_dedup.UNIT, -1)) for a in sorted(anchors) if a + substring_dedup.UNIT <= len(raw)]
+
+
+def whole(raw, at, step):
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += step
+    return at
+
+
+def plain_runs(ranges):
+    """Overlapping or touching (start, stop, ...) in runs."""
+    out = []
+    for r in sorted(ranges):
+        if out and r[0] <= max(x[1] for x in out[-1]):
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
+
+
+def owners(found):
+    """Contents that several documents have, with the smallest of these."""
+    ids = defaultdict(set)
+    for d, content in found:
+        ids[content].add(d)
+    return {content: min(ds) for content, ds in ids.items() if len(ds) > 1}
+
+
+def plain_passages(docs, least=substring_dedup.LEAST):
+    text = {d: t.encode() for d, t in docs}
+    units = [(d, a, b, text[d][a:b]) for d in text for a, b in plain_units(text[d])]
+    keep = owners((d, content) for d, _, _, content in units)
+    known, short = defaultdict(list), set()
+    for d in text:
+        for run in plain_runs({(a, b, content) for x, a, b, content in units if x == d and content in keep}):
+            if max(r[1] for r in run) - run[0][0] >= 2 * least:
+                known[d] += [(a, b, keep[content]) for a, b, content in run]
+            else:
+                short |= {content for _, _, content in run}
+    windows = []
+    for d, raw in text.items():
+        near = {p for x, a, b, content in units if x == d and content in short for p in range(max(0, a - substring_dedup.WINDOW), b - substring_dedup.UNIT + 4)}
+        for p in sorted(near):
+            word = lambda q: bool(substring_dedup.WORD_BYTE[raw[q]])
+            if p < len(raw) and word(p) and (p == 0 or not word(p - 1)) and (stop := whole(raw, p + least, 1)) <= len(raw):
+                windows.append((d, p, stop, raw[p:stop]))
+    keep = owners((d, content) for d, _, _, content in windows)
+    for d, a, b, content in windows:
+        if content in keep:
+            known[d].append((a, b, keep[content]))
+    out = []
+    for d, ranges in known.items():
+        for run in plain_runs(ranges):
+            start, stop = run[0][0], max(r[1] for r in run)
+            if stop - start >= least:
+                out.append((d, start, stop, len({p for a, b, k in run if k < d for p in range(a, b)}), min(r[2] for r in run)))
+    return sorted(out)
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghéß日", k=rng.randint(1, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(rng.randint(12, 60)) for _ in range(8)]
+    docs = [(d, " ".join(x for _ in range(rng.randint(1, 4)) for x in (prose(rng.randint(1, 25)), rng.choice(shared)[rng.randint(0, 40) :]))) for d in range(40)]
+    docs += [(100, docs[3][1]), (101, prose(30)), (102, "short"), (103, "")]
+    got = sorted((r["doc_id"], r["start"], r["stop"], r["removable_bytes"], r["keep_id"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, DOC)).collect())
+    assert got == plain_passages(docs) and len(got) > 40
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    good = [r["text"] for r in docs.orderBy(F.length("text").desc()).limit(3).collect()]
+    rows = [(1, good[0], "x"), (1, good[1], "x"), (7, good[0], "x"), (None, good[2], None), (None, None, None), (8, "", "x"), (9, None, "x"), (3, good[1] + " more", "x"), (3, good[1] + " more", "x")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("spans", F.lit(1)).withColumn("T1", F.lit("t")).withColumn("size", F.lit(2))
+    for name, documents in (("odd", odd), ("empty", odd.limit(0))):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    stages, kept = corpus_pipeline.STAGES, odd
+    for _, stage in stages[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/odd")
+        assert kept.columns == odd.columns
+    # Equal texts: the largest id. Near copies: the smallest id. Rows without id stay, empty texts are one text.
+    want = sorted([(1, good[1]), (7, good[0]), (9, None), (None, good[2]), (None, None)], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()) == [0, 0, 1, 7, 9]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

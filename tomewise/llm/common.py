@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once, and bytes of an Arrow batch that brings them.
-SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+SLICE_BYTES, BATCH_BYTES = 256 << 10, 4 << 20
 #: Ids that may be broadcast (about 100 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Rows of a table of ids and numbers in one file.
+FILE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +39,39 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, kind: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors.
+
+    Where the number of rows is known, about, they are written by a task for each ``FILE_ROWS`` of them, so small tables aren't many files. Inside ``passing`` the table goes at its end; with ``keep`` it goes with the scope around that, if there is one."""
     path = shared_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
+    few = df if rows is None else df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), -(-rows // FILE_ROWS))))
+    few.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are written inside, once nothing reads them any more."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _SCOPES.pop())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders from whatever store they are in."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

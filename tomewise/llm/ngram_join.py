@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import BROADCAST_IDS, id_text, join_salted, materialize, mixed, shuffle_partitions, slices, text_key, utf8, without, word_hashes, word_spans
+from tomewise.llm.common import BROADCAST_IDS, id_text, join_salted, materialize, mixed, passing, shuffle_partitions, slices, text_key, utf8, without, word_hashes, word_spans
 from tomewise.llm.components import components
 
 WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 4, 16, 1e-6
@@ -116,16 +116,18 @@ def likely(signature: np.ndarray, x: np.ndarray, y: np.ndarray, least: np.ndarra
 
 
 def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the pairs, as two columns of ids."""
-    top = np.arange(len(ids))
+    """A star around the smallest id of each component of the pairs, as two columns of ids; repeated ids are one."""
+    known, number = np.unique(ids, return_inverse=True)
+    x, y, top = number[x], number[y], np.arange(len(known))
     while not ((a := top[x]) == (b := top[y])).all():
         least = np.minimum(a, b)
         np.minimum.at(top, a, least)
         np.minimum.at(top, b, least)
         top = top[top]
-    top = top[top]
-    other = np.flatnonzero(top != np.arange(len(ids)))
-    return ids[top[other]], ids[other]
+    while (top != top[top]).any():
+        top = top[top]
+    other = np.flatnonzero(top != np.arange(len(known)))
+    return known[top[other]], known[other]
 
 
 def _slabs(bounds: np.ndarray, block: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -301,10 +303,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[has], a])), pa.array(np.concatenate([ids[has], b])), pa.array(n, pa.int64())], ["a", "b", "links"])
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, number: int) -> DataFrame:
     """Edges (a, b) of pairs of classes that share a band and survive pruning, enough of them to connect all such pairs."""
     keys = classes.select("rep", "sig").mapInArrow(_band_rows, "rep long, band int, key long")
-    crowds = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    crowds = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowds", rows=4 * number)
     crowded = join_salted(keys, crowds, ["key"], "n").join(classes.select("rep", "size", "sig"), "rep")
     parts = _n_blocks(F.col("n"), F.col("n") * 4 * HASHES, LEAST, SPREAD)
     dealt = crowded.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -332,15 +334,15 @@ def _block(at: str | Column) -> Column:
     return F.least(F.floor(at * F.col("parts") / F.col("load")).cast("int"), F.col("parts") - 1)
 
 
-def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, links): the links of class ``a``, and with null links edges that connect all links."""
-    near = components(_candidates(classes)).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    members = materialize(near.join(classes.select("rep", "size", "copies", "least"), "rep"), "members")
+def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, number: int) -> DataFrame:
+    """(a, b, links): the links of class ``a``, and with null links edges that connect all links. ``number``: of classes."""
+    near = components(_candidates(classes, number), 8 * number).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    members = materialize(near.join(classes.select("rep", "size", "copies", "least"), "rep"), "members", rows=number)
     share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30)
-    placed = join_salted(members, materialize(_laid_out(members), "laid"), ["cluster", "size"], "n").select(
+    placed = join_salted(members, materialize(_laid_out(members), "laid", rows=number), ["cluster", "size"], "n").select(
         "rep", "cluster", "copies", _block(F.col("start") + F.floor(share * F.col("bytes"))).alias("block"), "low", "high", *(F.col(f"least.{c}").alias(f"own_{c}") for c in ("doc_id", "t1", "t2"))
     )
-    picked = materialize(placed, "picked")
+    picked = materialize(placed, "picked", rows=number)
     n = picked.count()
     own = F.broadcast(picked) if n <= BROADCAST_IDS else picked
 
@@ -355,26 +357,31 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     return _meet(whole, "cluster", ["block", "rep", "copies", "size", "sig", "shingles"], _verify, "a long, b long, links long")
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, t1, t2, class_id, n_links and stays (whether a row is the one of its class that stays) of each row."""
-    docs = id_text(df, id_col, text_col).select("doc_id", "text", *text_key("text"))
-    sets = materialize(_read_sets(docs, with_set=False), "sets")
-    digest = ["d1", "d2", "size"]
+def _told(docs: DataFrame, sets: DataFrame, digest: list[str]) -> DataFrame:
+    """For each class (by ``digest``) its copies, its links, and the row that its group is named by (``key``)."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
     classes = sets.where("size > 0").groupBy(*digest).agg(least.alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), *digest, "copies", "least", "sig"), "classes")
-
-    found = materialize(_links(docs, sets, classes), "links")
+    number = classes.count()
+    found = materialize(_links(docs, sets, classes, number), "links")
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("links is null").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    roots = components(found.where("links is null").select("a", "b"), 8 * number).select(F.col("node").alias("rep"), "root")
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    linked = materialize(classes.drop("sig").join(links, "rep", "left").join(roots, "rep", "left").select("root", *digest, "copies", "least", n_links), "linked")
+    linked = materialize(classes.drop("sig").join(links, "rep", "left").join(roots, "rep", "left").select("root", *digest, "copies", "least", n_links), "linked", rows=number)
     joined = linked.where("root is not null")
-    groups = materialize(joined.groupBy("root").agg(F.min("least").alias("key"), F.count("*").alias("n")), "groups")
+    groups = materialize(joined.groupBy("root").agg(F.min("least").alias("key"), F.count("*").alias("n")), "groups", rows=number)
     columns = [*digest, "copies", "n_links", "key"]
-    told = join_salted(joined, groups, ["root"], "n").select(*columns).unionByName(linked.where("root is null").withColumnRenamed("least", "key").select(*columns))
+    return join_salted(joined, groups, ["root"], "n").select(*columns).unionByName(linked.where("root is null").withColumnRenamed("least", "key").select(*columns))
 
-    full = join_salted(sets.where("size > 0").select("doc_id", "t1", "t2", *digest), materialize(told, "told"), digest, "copies")
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t1, t2, class_id, n_links and stays (whether a row is the one of its class that stays) of each row."""
+    docs = id_text(df, id_col, text_col).select("doc_id", "text", *text_key("text"))
+    sets = materialize(_read_sets(docs, with_set=False), "sets")
+    digest = ["d1", "d2", "size"]
+    with passing(df.sparkSession):
+        told = materialize(_told(docs, sets, digest), "told", keep=True)
+    full = join_salted(sets.where("size > 0").select("doc_id", "t1", "t2", *digest), told, digest, "copies")
     stays = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("key.doc_id")) & (F.col("t1") == F.col("key.t1")) & (F.col("t2") == F.col("key.t2")))
     full = full.select("doc_id", "t1", "t2", F.col("key.doc_id").alias("class_id"), "n_links", stays.alias("stays"))
     return full.unionByName(sets.where("size = 0").select("doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays")))
