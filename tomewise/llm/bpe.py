@@ -1,8 +1,9 @@
 """BPE encoding and decoding with a contiguous rank array.
 
-A short word is held as its part boundaries, the ids of the parts, and an array with the rank of each adjacent pair. The
-array is scanned for its minimum, that boundary is deleted, and the ranks of the two neighbouring pairs are refreshed,
-until no pair has a rank. The scan is quadratic, so words of more than ``SHORT`` bytes take the heap of ``token_counts``.
+A short word is held as its part boundaries and an array with the rank of each two adjacent parts, looked up by the bytes between their
+boundaries. The array is scanned for its minimum, the boundary between those two parts is deleted, and the ranks of the two
+neighbouring pairs are refreshed, until no pair has a rank; ids are read off the boundaries last. The scan is quadratic, so
+words of more than ``SHORT`` bytes take the heap of ``token_counts``.
 
 Defined results: null counts as empty and gives no ids; special strings inside a text give their own ids; ids that the
 vocabulary lacks raise ``KeyError`` in decoding, bytes that aren't UTF-8 become U+FFFD; repeated rows give repeated
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tomewise.llm.common import id_text, slices
-from tomewise.llm.pretokens import Remembered, Vocabulary, load_vocabulary, stretches, words
+from tomewise.llm.pretokens import Remembered, Vocabulary, load_vocabulary, remembered, stretches, words
 from tomewise.llm.token_counts import run_merges
 
 SHORT = 200
@@ -31,24 +32,24 @@ def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
         symbols = [vocabulary.byte_ids[b] for b in word]
         run_merges(symbols, vocabulary.pairs)
         return [s for s in symbols if s >= 0]
-    pairs, none = vocabulary.pairs.get, (_NONE, 0)
+    look, none = vocabulary.merges.get, (_NONE, 0)
+
+    def rank(at: int) -> int:
+        """The rank of the parts on either side of boundary ``at + 1``."""
+        start = bounds[at]
+        found, left = look(word[start : bounds[at + 2]], none)
+        return found if left == bounds[at + 1] - start else _NONE
+
     bounds = list(range(len(word) + 1))
-    ids = [vocabulary.byte_ids[b] for b in word]
-    found = [pairs(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-    ranks = [f[0] for f in found]
-    while ranks:
-        least = min(ranks)
-        if least == _NONE:
-            break
+    ranks = [look(word[i : i + 2], none)[0] for i in range(len(word) - 1)]
+    while ranks and (least := min(ranks)) != _NONE:
         i = ranks.index(least)
-        ids[i] = new = pairs(ids[i] << 20 | ids[i + 1])[1]
-        del bounds[i + 1], ids[i + 1], ranks[i]
+        del bounds[i + 1], ranks[i]
         if i < len(ranks):
-            ranks[i] = pairs(new << 20 | ids[i + 1], none)[0]
+            ranks[i] = rank(i)
         if i:
-            ranks[i - 1] = pairs(ids[i - 1] << 20 | new, none)[0]
-    assert len(bounds) == len(ids) + 1
-    return ids
+            ranks[i - 1] = rank(i - 1)
+    return [vocabulary.ids[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 class _Encoded(Remembered):
@@ -77,8 +78,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """doc_id and ids (little-endian unsigned 32-bit integers, as binary) of each row. ``tokenizer``: a path that every executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_vocabulary(tokenizer)
-        memo = _Encoded(vocabulary)
+        vocabulary, memo = load_vocabulary(tokenizer), remembered(_Encoded, tokenizer)
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array((encode_text(t, vocabulary, memo) for t in part.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])
@@ -97,3 +97,17 @@ def decode(df: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+
+
+def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and the text that these decode to, of each row: ``encode`` and ``decode`` in one Python worker instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, memo = load_vocabulary(tokenizer), remembered(_Encoded, tokenizer)
+        for batch in batches:
+            for part in slices(batch):
+                ids = [encode_text(t, vocabulary, memo) for t in part.column("text").to_pylist()]
+                texts = [decode_ids(np.frombuffer(b, "<u4").tolist(), vocabulary) for b in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")

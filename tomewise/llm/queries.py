@@ -109,7 +109,7 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode, decode again, and digest both."""
-    back = bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    back = bpe.round_trip(docs, tokenizer)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

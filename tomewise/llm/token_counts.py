@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tomewise.llm.common import id_text, slices
-from tomewise.llm.pretokens import Remembered, Vocabulary, load_vocabulary, stretches, words
+from tomewise.llm.pretokens import Remembered, Vocabulary, load_vocabulary, remembered, stretches, words
 
 
 def run_merges(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> int:
@@ -72,8 +72,7 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str =
     """doc_id, n_bytes, n_tokens and over_limit (more tokens than ``limit``) of each row. ``tokenizer``: a path that every executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_vocabulary(tokenizer)
-        counts = _Counts(vocabulary)
+        vocabulary, counts = load_vocabulary(tokenizer), remembered(_Counts, tokenizer)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
