@@ -128,3 +128,33 @@ def test_small_archives_have_a_dictionary():
         with pytest.raises(zstandard.ZstdError):  # no record can be read without the dictionary
             for frame in made[1:]:
                 alone.decompress(frame)
+
+
+def plain_fold(events):
+    """Final messages of a log: (conv_id, turn) to a list of (role, text)."""
+    out = {}
+    order = lambda e: (e[0] is not None, e[0] or 0, e[1], e[2], e[3] != "message", e[3], e[4] or "", e[5] or "")
+    for conv, turn, _, kind, role, text in sorted(events, key=order):
+        messages = out.setdefault((conv, turn), [])
+        role, text = role or "", text or ""
+        if kind == "message" or not messages:
+            messages.append([role, "" if kind == "regenerate" else text])
+        elif kind == "delta":
+            messages[-1][1] += text
+        else:
+            messages[-1][1] = text if kind == "edit" else ""
+    return out
+
+
+def test_random_logs_equal_a_plain_fold(spark):
+    rng = random.Random(31)
+    texts = [*NASTY, "x", None, "tail "]
+    events = [(rng.choice([None, 1, 2, 3]), rng.randint(0, 3), rng.randint(0, 6), rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant", None, "odd\nrole #### x"]), rng.choice(texts)) for _ in range(250)]
+    rows = chat_format.format_log(spark.createDataFrame(events, LOG)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (str(r["conv_id"]), r["place"])):
+        (role, text), = chat_format.parse(r["formatted"])
+        got.setdefault((r["conv_id"], r["turn"]), []).append([role, text])
+        inside = chat_format.unescape(r["formatted"][r["loss_start"] : r["loss_end"]]) if r["loss_start"] is not None else None
+        assert inside == (text if role == "assistant" else None)
+    assert got == plain_fold(events)

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tomewise.llm import bpe, decontaminate, exact_dedup, token_counts
 from tomewise.llm.pretokens import load_vocabulary
-from tomewise.llm.queries import OP1_SQL, tokenizer_path
+from tomewise.llm.queries import OP1_SQL, op5_bpe_encode_decode, op8_token_counts, table, tokenizer_path
 
 DOC = "doc_id long, text string"
 
@@ -99,8 +99,8 @@ def test_decontamination_equals_brute_force(spark, contaminated, monkeypatch):
     frame = spark.createDataFrame(docs, DOC).withColumn("items", F.lit(1)).withColumn("n_words", F.lit(0))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_windows(docs, items)
-    for block in (decontaminate.BLOCK_BYTES, 400):  # one automaton, then several passes
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    for nodes in (decontaminate.NODES, 150):  # one automaton, then several passes
+        monkeypatch.setattr(decontaminate, "NODES", nodes)
         got = {r["doc_id"]: r for r in decontaminate.scan(frame, bench).collect()}
         assert {d: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for d, r in got.items()} == want
     kept = decontaminate.keep_clean(frame, bench)
@@ -117,6 +117,71 @@ def test_decontamination_of_empty_tables(spark, contaminated):
     assert decontaminate.scan(some, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_a_benchmark_is_measured_before_it_is_collected(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "some words of an item"), (2, None)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 10)
+    with pytest.raises(ValueError, match="22 bytes"):
+        decontaminate.collect_items(bench)
+
+
+def test_parts_of_a_benchmark():
+    items = [(None, "x " * 30), ("b", ""), ("c", "one two"), ("d", " ".join(f"w{k}" for k in range(1000)))]
+    whole = list(decontaminate.parts(items))
+    assert len(whole) == 1 and {i for i, _ in whole[0]} == {None, "c", "d"}
+    cut = list(decontaminate.parts(items, nodes=300))
+    window_sets = [{(i, tuple(raw.split()[k : k + 10])) for part in ps for i, raw in part for k in range(max(1, len(raw.split()) - 9))} for ps in (whole, cut)]
+    assert len(cut) > 30 and window_sets[0] == window_sets[1]
+
+
+def test_decontamination_of_long_texts_and_repeated_rows(spark):
+    rng = random.Random(7)
+    item = " ".join(f"q{k}" for k in range(20))
+    long = " ".join(f"t{rng.randrange(5000)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (1, f"{long} {item} {long}"), (None, item), (2, long)], DOC)
+    bench = spark.createDataFrame([(1, item), (1, "something else"), (1, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["spans"]) for r in decontaminate.scan(docs, bench).collect()), key=str)
+    assert [g[:4] for g in got] == [(1, 600_020, 20, 1), (1, 600_020, 20, 1), (2, 300_000, 0, 0), (None, 20, 20, 1)]
+    assert got[0][4] == [(len(long) + 1, len(long) + 1 + len(item))]
+
+
+def test_exact_dedup_combines_before_the_shuffle(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
+    plan = exact_dedup._winners(exact_dedup._digests(docs, "doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange") :]
+    assert below.count("partial_max") == 1 and plan.count("Exchange hashpartitioning") == 2
+    got = exact_dedup.exact_duplicates(docs)
+    assert got.where("group_size = 1000 and keep_id = 2997").count() == 1000 and got.where("group_size = 1 and kept").count() == 2000
+
+
+def test_vocabularies_that_need_more_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="isn't supported"):
+            load_vocabulary(str(path))
+
+
+def test_every_document_of_the_tables_equals_the_library(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = dict(zip(texts, tokens_of(list(texts.values())), strict=True))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    rows = op5_bpe_encode_decode(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows} == {d: (len(w), sha(np.array(w, "<u4").tobytes()), sha(texts[d].encode())) for d, w in want.items()}
+    rows = op8_token_counts(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows} == {d: (len(texts[d].encode()), len(w), len(w) > 1024) for d, w in want.items()}
+
+
+@pytest.mark.parametrize("size", [199, 200, 201])
+def test_words_about_the_bound_of_the_rank_array(size):
+    v, rng = load_vocabulary(tokenizer_path()), random.Random(size)
+    word = "".join(rng.choices("theingaro", k=size))
+    assert bpe.merge_word(word.encode(), v) == tokens_of([word])[0]
+
+
 def test_exact_dedup(spark):
     rows = [(i, "same") for i in range(200)] + [(1000, None), (1001, ""), (1002, "Same"), (1003, "same "), (1002, "Same"), (None, "lone")]
     docs = spark.createDataFrame(rows, DOC).withColumn("salt", F.lit(1)).withColumn("digest", F.lit("d")).withColumn("keep_id", F.lit(0))

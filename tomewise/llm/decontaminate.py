@@ -17,6 +17,7 @@ gives an empty result, an empty benchmark gives no hits; extra columns are kept
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -84,14 +85,25 @@ class Scanner:
                     self.owners[at].append(item)
         if part:
             self.automaton.make_automaton()
+            self.stretches = re.compile(rb"\x01{%d,}" % min(self.sizes))
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
-        """Runs of words (first, one past the last) inside matches, and the items that match."""
-        if not self.sizes or not words:
+        """Runs of words (first, one past the last) inside matches, and the items that match.
+
+        A word that no pattern has takes the automaton back to its root, so only stretches of known words are given to it, and of these
+        only such as could hold the shortest pattern."""
+        if not self.sizes:
             return [], set()
         look, sizes = self.number.get, self.sizes
-        found = list(self.automaton.iter(tuple([look(w, 0) for w in words])))
-        return merged([(end + 1 - sizes[at], end + 1) for end, at in found]), {i for at in {at for _, at in found} for i in self.owners[at]}
+        numbers = [look(w, 0) for w in words]
+        runs, found = [], set()
+        for stretch in self.stretches.finditer(bytes(map(bool, numbers))):
+            first = stretch.start()
+            for end, at in self.automaton.iter(tuple(numbers[first : stretch.end()])):
+                end += first + 1
+                runs.append((end - sizes[at], end))
+                found.add(at)
+        return merged(runs), {i for at in found for i in self.owners[at]}
 
 
 _HELD: dict[str, Scanner] = {}
