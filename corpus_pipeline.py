@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tomewise.llm import decontaminate, exact_dedup, ngram_join, quality
-from tomewise.llm.common import materialize
+from tomewise.llm.common import passing, remove, shared_path
 from tomewise.llm.queries import bpe_digests, table, tokenizer_path
 
 
@@ -49,7 +49,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages; what a stage leaves in the shared folder goes once the next one's documents are written."""
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        path = shared_path(spark, "stage")
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, before)
+        before, docs = [path], spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
