@@ -72,6 +72,17 @@ def test_records():
             records.parse_record(bad)
 
 
+def test_the_expression_reads_records_as_the_parser_does(spark):
+    items = [
+        item(7, " T &amp; U ", volume="02", series=("a ; 1", "b"), isbns=("97", "X"), edition="新版", issued="2015.4", extent="3p", publishers=("A", "B"), subjects=("s", "2020"), ndcs=(("9", "336.0"), ("", "33"), ("X", "no")), descriptions=("n", " ")),
+        "<item><link>https://x/I1/</link><title>only</title><dc:title xml:lang='ja'> first </dc:title><dc:title>second</dc:title><dc:subject/><dc:identifier>5</dc:identifier></item>", "<item><link>I2</link></item>",
+    ]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(items)], "n int, xml string").select("n", records.record_of("xml").alias("r")).orderBy("n").collect()
+    assert [r["r"].asDict(recursive=True) for r in rows] == [records.parse_record(x) for x in items]
+    broken = spark.createDataFrame([("<item><link>x</link>",), ("",), (None,), ("<item/>",)], "xml string").select(records.record_of("xml").alias("r")).collect()
+    assert [(r["r"]["id"], r["r"]["title"], r["r"]["series"]) for r in broken] == [(None, "", [])] * 4
+
+
 class Fake:
     """Answers by parameters; what isn't registered has no results."""
 

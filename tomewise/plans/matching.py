@@ -1,4 +1,4 @@
-"""Matching of books to paper editions: candidates are read one by one in Arrow batches, everything that compares the candidates
+"""Matching of books to paper editions: records are read by Spark's XML expression, the title grammar runs on Arrow batches, everything that compares the candidates
 of a book is an expression over its ordered array of candidates. A book has at most as many as one response holds (500), so these
 arrays are bounded; books are spread by key, and no step needs more than one shuffle of candidates.
 """
@@ -11,30 +11,32 @@ from pyspark.sql import functions as F
 
 from tomewise.functions import fields, titles
 from tomewise.functions.lazy import column_function
-from tomewise.sources.records import parse_record
+from tomewise.sources.records import record_of
 
-_JUDGED = (
-    "id string, paper boolean, first boolean, second boolean, labels_fit array<boolean>, editions_fit array<boolean>, has_edition boolean, special boolean, isbns array<string>, "
-    "subjects array<string>, ndcs array<struct<edition:string,code:string>>, descriptions array<string>, issued string, extent string, publishers array<string>, series array<string>"
-)
+_JUDGED = "first boolean, second boolean, labels_fit array<boolean>, editions_fit array<boolean>, has_edition boolean, special boolean"
 _CARRIED = ("isbns", "subjects", "ndcs", "descriptions", "issued", "extent", "publishers", "series")
 _EMPTY = "cast(array() as array<string>)"
 MATCH_COLUMNS = ("method", "candidate_ids", "isbn", "paper_issued", "publisher", "pages", "bib_series", "ndc", "ndc_edition", "subjects", "notes")
 
 
 @column_function(_JUDGED)
-def judged(title: pd.Series, series: pd.Series, xml: pd.Series) -> pd.DataFrame:
+def judged(title: pd.Series, series: pd.Series, candidate: pd.Series, volume: pd.Series, candidate_series: pd.Series, edition: pd.Series) -> pd.DataFrame:
     """What one candidate is to one book: same work by either reading, and how it meets each label and edition of the title."""
     rows = []
-    for t, s, x in zip(title, series, xml, strict=True):
-        r, book = parse_record(x), titles.read_title(t or "", s)
-        candidate, paper = titles.candidate_of(r), titles.is_paper(r["id"], r["categories"])
-        first, second = titles.answers(t or "", s, candidate) if paper else (False, False)
-        rows.append({
-            "id": r["id"], "paper": paper, "first": first, "second": second, "has_edition": bool(candidate.editions), "special": candidate.special, **{c: r[c] for c in _CARRIED},
-            "labels_fit": [titles.label_fits(label, candidate.series_names) for label in book.labels], "editions_fit": [titles.same_edition(e, candidate.editions) for e in book.editions],
-        })
-    return pd.DataFrame(rows, columns=["id", "paper", "first", "second", "labels_fit", "editions_fit", "has_edition", "special", *_CARRIED], dtype=object)
+    for t, s, *record in zip(title, series, candidate, volume, candidate_series, edition, strict=True):
+        book, c = titles.read_title(t or "", s), titles.read_candidate(record[0], record[1], tuple(record[2]), record[3])
+        first, second = titles.answers(t or "", s, c)
+        labels_fit, editions_fit = [titles.label_fits(label, c.series_names) for label in book.labels], [titles.same_edition(e, c.editions) for e in book.editions]
+        rows.append((first, second, labels_fit, editions_fit, bool(c.editions), c.special))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _JUDGED.split(", ")], dtype=object)
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """Rows with a book's title, series_title and a candidate's item_xml, those of paper editions only, with the record and what it is to the book."""
+    is_paper = lambda r: r["id"].startswith(titles.PAPER_PREFIX) & F.arrays_overlap(F.array(F.lit(titles.PAPER_CATEGORIES[0])), r["categories"]) & F.arrays_overlap(F.array(F.lit(titles.PAPER_CATEGORIES[1])), r["categories"])
+    # The condition binds the record to a name: it is read once for it and once for what follows, and the title grammar runs on paper editions alone.
+    read = rows.withColumn("r", record_of("item_xml")).where(F.get(F.transform(F.array("r"), is_paper), F.lit(0)))
+    return read.withColumn("j", judged("title", "series_title", "r.title", "r.volume", "r.series", "r.edition"))
 
 
 def _one_per_isbn(records: Column, kind: str) -> Column:
@@ -64,10 +66,9 @@ def match(books: DataFrame, candidates: DataFrame) -> DataFrame:
 
     ``candidates``: (asin, candidate_id, search_rank, item_xml). Books whose source is ``isbn`` take any paper candidate."""
     rows = candidates.select("asin", "search_rank", "item_xml").join(books.select("asin", "title", "series_title", "source"), "asin")
-    rows = rows.withColumn("r", judged("title", "series_title", "item_xml")).where("r.paper")
-    rows = rows.withColumn("isbn13s", F.filter(F.transform("r.isbns", fields.isbn13), lambda x: x.isNotNull()))
+    rows = _read(rows).withColumn("isbn13s", F.filter(F.transform("r.isbns", fields.isbn13), lambda x: x.isNotNull()))
     # The rank comes first and is unique in a book, so arrays sort by it alone.
-    packed = rows.groupBy("asin").agg(F.array_sort(F.collect_list(F.struct("search_rank", "isbn13s", "r.*"))).alias("all"), F.max("r.first").alias("any_first"), F.first("source").alias("source"))
+    packed = rows.groupBy("asin").agg(F.array_sort(F.collect_list(F.struct("search_rank", "isbn13s", "r.id", *(f"r.{x}" for x in _CARRIED), "j.*"))).alias("all"), F.max("j.first").alias("any_first"), F.first("source").alias("source"))
     kind = packed.schema["all"].dataType.elementType.simpleString()
     by_isbn = F.coalesce(F.col("source") == "isbn", F.lit(False))
     adopted = F.when(by_isbn, F.col("all")).when(F.col("any_first"), F.filter("all", lambda r: r["first"])).otherwise(F.filter("all", lambda r: r["second"]))
@@ -105,8 +106,8 @@ def match(books: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def adoptable(books: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, adoptable) per group of candidates (keys, title, series_title, item_xml): whether either reading adopts any."""
-    rows = candidates.join(books.select("asin", "title", "series_title"), "asin").withColumn("r", judged("title", "series_title", "item_xml"))
-    return rows.groupBy(*keys).agg(F.max(F.col("r.first") | F.col("r.second")).alias("adoptable"))
+    rows = _read(candidates.join(books.select("asin", "title", "series_title"), "asin")).groupBy(*keys).agg(F.max(F.col("j.first") | F.col("j.second")).alias("yes"))
+    return candidates.select(*keys).distinct().join(rows, keys, "left").select(*keys, F.coalesce("yes", F.lit(False)).alias("adoptable"))
 
 
 def children(matches: DataFrame, column: str, value: str, order: str) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Bibliographic records out of search responses (RSS), as plain parsing and as column functions."""
+"""Bibliographic records out of search responses (RSS), as plain parsing and as an expression."""
 
 from __future__ import annotations
 
 import re
 from xml.etree import ElementTree
 
-import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from tomewise.functions.lazy import column_function
+from tomewise.operators.lists import trimmed
 
 #: Namespaces of responses, and patterns of what is taken from their text. Fixed values.
 NAMESPACES = {
@@ -79,6 +80,35 @@ def parse_response(text: str) -> tuple[int, list[str]]:
     return int(total), [re.sub(SEE_ALSO, "", m.group()) for m in re.finditer(ITEM, text)]
 
 
-@column_function(RECORD)
-def record_of(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_record(x) for x in xml], columns=[re.split(r"\s", c)[0] for c in re.split(r", (?![^<]*>)", RECORD)], dtype=object)
+_TYPED = {tag for tag, kind, _ in _FIELDS.values() if kind is not ...}
+#: What Spark's XML reader takes from an item: texts of elements, with their type where it matters.
+_RAW = ", ".join(
+    f"`{tag}` array<{'struct<_VALUE:string,`_xsi:type`:string>' if tag in _TYPED else 'string'}>" for tag in dict.fromkeys(["link", "dc:title", "title", *(tag for tag, _, _ in _FIELDS.values())])
+)
+
+
+def record_of(xml: str | Column) -> Column:
+    """The same of a column of items, as a struct of ``RECORD`` without a Python worker. An unreadable item has a null id and empty lists.
+
+    The element that Spark reads is bound to a name, so it is read once whatever number of fields is taken from it."""
+    return F.get(F.transform(F.array(F.from_xml(xml, _RAW)), _fields_of), F.lit(0))
+
+
+def _fields_of(raw: Column) -> Column:
+    typed = "array<struct<_VALUE:string,`_xsi:type`:string>>"
+
+    def texts(tag: str, kind: object = ...) -> Column:
+        found = F.coalesce(raw[tag], F.expr("array()").cast(typed if tag in _TYPED else "array<string>"))
+        if tag in _TYPED:
+            found = F.transform(found if kind is ... else F.filter(found, lambda e: e["_xsi:type"].isNull() if kind is None else e["_xsi:type"] == kind), lambda e: e["_VALUE"])
+        return F.filter(F.transform(found, trimmed), lambda x: x.isNotNull() & (x != ""))
+
+    first = lambda tag: F.get(texts(tag), F.lit(0))
+    classes = F.filter(F.coalesce(raw["dc:subject"], F.expr("array()").cast(typed)), lambda e: F.regexp_like(e["_xsi:type"], F.lit(CLASS_TYPE)) & (trimmed(e["_VALUE"]) != ""))
+    out = {
+        "id": F.nullif(F.element_at(F.split(F.rtrim(first("link"), F.lit("/")), "/"), -1), F.lit("")),
+        "title": F.coalesce(first("dc:title"), first("title"), F.lit("")),
+        "ndcs": F.transform(classes, lambda e: F.struct(F.regexp_extract(e["_xsi:type"], CLASS_TYPE, 1).alias("edition"), trimmed(e["_VALUE"]).alias("code"))),
+        **{name: texts(tag, kind) if many else F.get(texts(tag, kind), F.lit(0)) for name, (tag, kind, many) in _FIELDS.items()},
+    }
+    return F.struct(*(out[name].alias(name) for name in (c.split(" ")[0] for c in re.split(r", (?![^<]*>)", RECORD))))
