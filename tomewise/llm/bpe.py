@@ -33,22 +33,20 @@ def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
         run_merges(symbols, vocabulary.pairs)
         return [s for s in symbols if s >= 0]
     look, none = vocabulary.merges.get, (_NONE, 0)
-
-    def rank(at: int) -> int:
-        """The rank of the parts on either side of boundary ``at + 1``."""
-        start = bounds[at]
-        found, left = look(word[start : bounds[at + 2]], none)
-        return found if left == bounds[at + 1] - start else _NONE
-
     bounds = list(range(len(word) + 1))
+    # The rank of the parts on either side of each inner boundary; written out below, since a call would take as long as the look-up.
     ranks = [look(word[i : i + 2], none)[0] for i in range(len(word) - 1)]
     while ranks and (least := min(ranks)) != _NONE:
         i = ranks.index(least)
         del bounds[i + 1], ranks[i]
+        start, middle = bounds[i], bounds[i + 1]
         if i < len(ranks):
-            ranks[i] = rank(i)
+            found, left = look(word[start : bounds[i + 2]], none)
+            ranks[i] = found if left == middle - start else _NONE
         if i:
-            ranks[i - 1] = rank(i - 1)
+            before = bounds[i - 1]
+            found, left = look(word[before:middle], none)
+            ranks[i - 1] = found if left == start - before else _NONE
     return [vocabulary.ids[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 

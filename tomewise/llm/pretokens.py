@@ -107,7 +107,7 @@ def words(text: str) -> Iterator[list[str]]:
 class Remembered(dict):
     """What a word comes to, worked out at first sight. Two generations of about ``MOST_BYTES``: the older one is dropped when the newer one is full."""
 
-    MOST_BYTES, LONG = 24 << 20, 64
+    MOST_BYTES, LONG = 40 << 20, 64
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
