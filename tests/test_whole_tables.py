@@ -1,5 +1,7 @@
 """Operators and bindings over whole tables against brute force."""
 
+import duckdb
+
 from tomewise.operators import merging
 from tomewise.plans import bindings
 
@@ -41,3 +43,21 @@ def test_bindings_over_tables(spark):
     for r in table("events").orderBy("event_id").collect():
         last.setdefault(r["user_id"], []).append(r["event_type"])
     assert dict(rows("guarded_merge")) == {u: e[0] if e[-1] == "error" != e[0] else e[-1] for u, e in last.items()}
+
+
+def held_against_sql(spark, folder, name, tables):
+    """(rows of a query, rows of its SQL) over small tables: name -> (rows, schema)."""
+    con = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.sql(bindings.ORACLE_SQL[name])
+    got = bindings.QUERIES[name](spark, str(folder)).select(*want.columns)
+    return sorted(map(tuple, got.collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_search_exists_leaves_out_parts_without_a_hit(spark, tmp_path):
+    parts = [(1, "x", "x"), (2, "x", "x"), (3, "an A1r", None), (4, None, "a1R"), (5, None, None), (6, "x", None), (None, "x", "x"), (7, "twice", "x"), (7, "twice", "x"), (8, "no line", "x")]
+    lines = [(1, "R"), (1, "R"), (1, "A"), (2, "A"), (2, None), (5, "r"), (6, "N"), (7, "R"), (None, "R"), (9, "R")]
+    got, want = held_against_sql(spark, tmp_path, "search_exists", {"part": (parts, "p_partkey long, p_name string, p_type string"), "lineitem": (lines, "l_partkey long, l_returnflag string")})
+    assert got == want and [p for p, _ in got] == [1, 3, 4, 5, 7, 7]

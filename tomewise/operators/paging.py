@@ -33,7 +33,8 @@ def search(df: DataFrame, columns: list[str], term: str, child: DataFrame | None
     if child is None:
         return df.where(hit)
     own = child.select(F.col(key).alias("key_"), F.col(child_column).alias("text_")).where(matches(["text_"], term))
-    return df.where(hit | own.where(F.col("key_") == F.col(key).outer()).exists())
+    # unqualified, the key would be looked up below the child's projection first, where a column of that name is compared to itself
+    return df.alias("row_").where(hit | own.where(F.col("key_") == F.col(f"row_.{key}").outer()).exists())
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
