@@ -3,7 +3,7 @@
 import duckdb
 
 from tomewise.operators import merging
-from tomewise.plans import bindings
+from tomewise.plans import bindings, catalogue  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +61,10 @@ def test_search_exists_leaves_out_parts_without_a_hit(spark, tmp_path):
     lines = [(1, "R"), (1, "R"), (1, "A"), (2, "A"), (2, None), (5, "r"), (6, "N"), (7, "R"), (None, "R"), (9, "R")]
     got, want = held_against_sql(spark, tmp_path, "search_exists", {"part": (parts, "p_partkey long, p_name string, p_type string"), "lineitem": (lines, "l_partkey long, l_returnflag string")})
     assert got == want and [p for p, _ in got] == [1, 3, 4, 5, 7, 7]
+
+
+def test_resolved_stages_rounds_halves_as_its_sql_does(spark, tmp_path):
+    values = [(1, "a", 50.05), (1, "a", 50.04), (2, "a", 50.06), (2, "a", 50.05), (3, "a", 50.15), (4, None, 50.05), (None, "a", 50.05), (5, "a", None), (6, "a", -0.05), (7, "a", 49.95), (8, "a", 50.050000000000004), (8, "b", 50.0500000001)]
+    rows = [(at, *x) for at, x in enumerate(values)]
+    got, want = held_against_sql(spark, tmp_path, "resolved_stages", {"events": (rows, "event_id long, user_id long, event_type string, value double")})
+    assert got == want and {("1", "a", 0), ("2", "a", 3), ("4", None, 5), (None, "a", 6)} <= set(got)

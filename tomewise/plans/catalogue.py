@@ -238,7 +238,7 @@ SELECT user_id::VARCHAR AS asin, event_type AS stage_no, ref_no FROM s
 """)
 def resolved_stages(t: Tables) -> DataFrame:
     """Per stage the first search with few enough results."""
-    rows = t("events").select(c("user_id").cast("string").alias("asin"), c("event_type").alias("stage_no"), c("event_id").alias("ref_no"), F.round(c("value") * 10).cast("int").alias("total"))
+    rows = t("events").select(c("user_id").cast("string").alias("asin"), c("event_type").alias("stage_no"), c("event_id").alias("ref_no"), F.rint(c("value") * 10).cast("int").alias("total"))  # halves to the even number, as the SQL's cast
     return enrichment.resolve(rows)
 
 
