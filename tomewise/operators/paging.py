@@ -28,11 +28,11 @@ def matches(columns: list[str], term: str) -> Column:
 
 
 def search(df: DataFrame, columns: list[str], term: str, child: DataFrame | None = None, key: str | None = None, child_column: str | None = None) -> DataFrame:
-    """Rows that contain ``term`` themselves or have a child row that does (an existence join, which needs no distinct keys)."""
+    """Rows that contain ``term`` themselves or have a child row that does (an existence join; keys are made distinct before their shuffle, so that no task gets all child rows of a frequent key)."""
     hit = F.coalesce(matches(columns, term), F.lit(False))
     if child is None:
         return df.where(hit)
-    own = child.select(F.col(key).alias("key_"), F.col(child_column).alias("text_")).where(matches(["text_"], term))
+    own = child.select(F.col(key).alias("key_"), F.col(child_column).alias("text_")).where(matches(["text_"], term)).select("key_").distinct()
     # unqualified, the key would be looked up below the child's projection first, where a column of that name is compared to itself
     return df.alias("row_").where(hit | own.where(F.col("key_") == F.col(f"row_.{key}").outer()).exists())
 
